@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("terms_queries", "token_queries", "sentence_queries", "language_queries")
+_PARTS = ("terms_queries", "name_queries", "token_queries", "sentence_queries", "language_queries")
 
 QUERIES: dict = {}
 SQL: dict = {}
