@@ -6,11 +6,12 @@ gives each character its class: most come from a table, full stops are told
 apart by the word before and what follows (abbreviation, number, initial),
 quotation marks and brackets are paired within their paragraph.
 
-A text is cut into chunks.  All chunks of a batch run in step, one character
-each at a time.  The chunks of longer texts first run as functions from every
-state to a state, a parallel prefix scan composes them, and that gives the state
-in which each chunk begins; then all chunks run again and emit.  So a long text
-is no slower per character than many short ones.
+Texts are cut into chunks, at blank lines, where the state is known, and else
+after ``CHUNK`` characters.  All chunks of a batch run in step, one character
+each at a time.  Where a paragraph has several chunks, these first run as
+functions from every state to a state, a parallel prefix scan composes them, and
+that gives the state in which each begins; then all chunks run and emit.  So a
+long text is no slower per character than many short ones.
 
 Rules that don't lie in the transducer: a blank line always ends a sentence, a
 single line break is a space, and in Thai a space between two letters ends one.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from lexichron.llm.tokens import slices, spread
 
-#: Characters of one chunk.
-CHUNK = 2048
+#: Most characters of one chunk.
+CHUNK = 1024
 
 # Words whose full stop never ends a sentence, in lower case, by language.
 NEVER = frozenset(
@@ -104,15 +105,21 @@ def _dot_classes(text: str, classes: np.ndarray, lower_case: bool) -> None:
     end = len(text)
     for m in _DOTS.finditer(text):
         at, to = m.span()
-        begin = at
-        while begin and (text[begin - 1].isalnum() or classes[begin - 1] == IGNORED):
-            begin -= 1
-        word = text[begin:at]
         following = text[to] if to < end else ""
+        if to - at == 1 and not following.isalnum():
+            # Most words before a full stop are long: no abbreviation, number or initial.
+            word = text[max(text.rfind(" ", max(0, at - 24), at), 0) : at].lstrip()
+            if len(word) > 7 and word.isascii() and word.isalpha():
+                classes[at] = DOT
+                continue
         if to - at > 1 or text[at] == "…":
             # An ellipsis may end a sentence before a capital letter; Chinese and Japanese set two of them inside.
             classes[at:to] = OTHER if text[at] == "…" and to - at > 1 else SELDOM_DOT
             continue
+        begin = at
+        while begin and (text[begin - 1].isalnum() or classes[begin - 1] == IGNORED):
+            begin -= 1
+        word = text[begin:at]
         classes[at] = OTHER
         if not word:
             # A closing bracket or quotation mark, or a space, may stand before the full stop.
@@ -313,12 +320,12 @@ def transducer() -> tuple[np.ndarray, int, int]:
     return np.asarray(table, np.uint8), len(table), first
 
 
-def _compose_by_scan(functions: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """Inclusive prefix compositions of the rows of ``functions`` within each document, by doubling steps."""
+def _compose_by_scan(functions: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Inclusive prefix compositions of the rows of ``functions`` within each group, by doubling steps."""
     done, distance = functions.copy(), 1
     rows = np.arange(len(done))
     while distance < len(done):
-        later = rows[distance:][document[distance:] == document[:-distance]]
+        later = rows[distance:][group[distance:] == group[:-distance]]
         if not len(later):
             break
         earlier = done[later - distance]
@@ -327,51 +334,61 @@ def _compose_by_scan(functions: np.ndarray, document: np.ndarray) -> np.ndarray:
     return done
 
 
-def sentence_starts(texts: list[np.ndarray], chunk: int = CHUNK) -> list[np.ndarray]:
-    """Places at which sentences begin, for each text given as classes."""
+def sentence_starts(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """Places at which sentences begin in a run of classes; BLANK parts texts as it parts paragraphs."""
     table, n_states, first = transducer()
     flat = table.ravel()
-    chunks = [(d, at) for d, classes in enumerate(texts) for at in range(0, len(classes), chunk)]
-    if not chunks:
-        return [np.empty(0, np.int64) for _ in texts]
-    width = min(chunk, max(len(t) for t in texts))
-    matrix = np.full((len(chunks), width), PAD, np.uint8)
-    for r, (d, at) in enumerate(chunks):
-        part = texts[d][at : at + width]
-        matrix[r, : len(part)] = part
-    document = np.asarray([d for d, _ in chunks])
-    offset = np.asarray([at for _, at in chunks], np.int64)
-    states = np.full(len(chunks), first, np.int64)
-    follows = np.flatnonzero(document[1:] == document[:-1])  # chunks with a later one in the same text
+    begins = np.r_[0, np.flatnonzero(classes == BLANK) + 1]
+    sizes = np.diff(np.r_[begins, len(classes)])
+    begins, sizes = begins[sizes > 0], sizes[sizes > 0]
+    if not len(begins):
+        return np.empty(0, np.int64)
+    pieces = -(-sizes // chunk)
+    paragraph = np.repeat(np.arange(len(begins)), pieces)
+    inner = (np.arange(len(paragraph)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * chunk
+    offset = begins[paragraph] + inner
+    length = np.minimum(sizes[paragraph] - inner, chunk)
+    order = np.argsort(-length, kind="stable")  # longest first: those still running are always the first ones
+    width = int(length.max())
+    sorted_length, sorted_offset = length[order], offset[order]
+    running = np.searchsorted(-sorted_length, -np.arange(width), side="left").tolist()
+    padded = np.r_[classes, np.full(width, PAD, np.uint8)]
+    states = np.full(len(order), first, np.intp)
+    follows = np.flatnonzero(paragraph[1:] == paragraph[:-1])  # chunks with a later one in the same paragraph; all are full
     if len(follows):
-        functions = np.tile(np.arange(n_states), (len(follows), 1))
-        columns = np.ascontiguousarray(matrix[follows].T)
-        for column in columns:
-            functions = (flat[functions * CLASSES + column[:, None]] & 127).astype(np.int64)
-        states[follows + 1] = _compose_by_scan(functions, document[follows])[:, first]
-    emitted = np.zeros((width, len(chunks)), bool)
-    for k, column in enumerate(np.ascontiguousarray(matrix.T)):
-        to = flat[states * CLASSES + column]
-        emitted[k] = to > 127
-        states = (to & 127).astype(np.int64)
-    rows, places = np.nonzero(emitted.T)
-    places = places + offset[rows]
-    edges = np.searchsorted(document[rows], np.arange(len(texts) + 1))
-    return [places[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        row = np.empty(len(order), np.intp)
+        row[order] = np.arange(len(order))
+        functions = np.tile(np.arange(n_states, dtype=np.intp), (len(follows), 1))
+        at = offset[follows]
+        for k in range(chunk):
+            functions = flat[functions * CLASSES + padded[at + k][:, None]].astype(np.intp) & 127
+        states[row[follows + 1]] = _compose_by_scan(functions, paragraph[follows])[:, first]
+    found = []
+    for k in range(width):
+        n = running[k]
+        at = sorted_offset[:n] + k
+        to = flat[states[:n] * CLASSES + padded[at]]
+        begun = to > 127
+        if begun.any():
+            found.append(at[begun])
+        states[:n] = to & 127
+    return np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
 def split_texts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Starts and ends of the sentences of each text."""
-    classes = [classify(t) if t else np.empty(0, np.uint8) for t in texts]
-    found = []
-    for text_classes, starts in zip(classes, sentence_starts(classes)):
-        solid = np.flatnonzero((text_classes != SPACE) & (text_classes != BLANK))
-        if not len(starts):
-            found.append((starts, starts))
-            continue
-        last = np.searchsorted(solid, np.r_[starts[1:], len(text_classes)]) - 1
-        found.append((starts, solid[last] + 1))
-    return found
+    gap = np.full(1, BLANK, np.uint8)
+    each = [x for t in texts for x in (classify(t) if t else gap[:0], gap)]
+    if not each:
+        return []
+    classes = np.concatenate(each)
+    begins = np.r_[0, np.cumsum([len(each[k]) + 1 for k in range(0, len(each), 2)])]
+    starts = sentence_starts(classes)
+    solid = np.flatnonzero((classes != SPACE) & (classes != BLANK))
+    last = np.searchsorted(solid, np.r_[starts[1:], len(classes)]) - 1 if len(starts) else starts
+    ends = solid[last] + 1 if len(starts) else starts
+    edges = np.searchsorted(starts, begins)
+    return [(starts[a:b] - begins[k], ends[a:b] - begins[k]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
 
 
 SENTENCES = pa.schema([("doc_id", pa.int64()), ("sentence", pa.int32()), ("start_char", pa.int64()), ("end_char", pa.int64())])
