@@ -1 +1 @@
-
+"""Column expressions: periods, text cleaning, predicates written as text."""

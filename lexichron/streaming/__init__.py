@@ -1 +1 @@
-
+"""The bag merge over a stream."""
