@@ -55,6 +55,8 @@ NEVER = frozenset(
 )
 # Words whose full stop ends a sentence only before a capital letter.
 SELDOM = frozenset("ff sq sqq ss segs rd chr др λ".split())
+_SHORT = NEVER | SELDOM
+_NUMERAL = "ivxlcdmIVXLCDM"
 # German month names and words for centuries, before which a number with a full stop is an ordinal.
 AFTER_ORDINAL = frozenset(
     "januar jänner februar märz april mai juni juli august september oktober november dezember jh jhs jahrhundert jahrhunderts".split()
@@ -107,15 +109,11 @@ def _dot_classes(text: str, classes: np.ndarray, lower_case: bool) -> None:
         at, to = m.span()
         following = text[to] if to < end else ""
         if to - at == 1 and not following.isalnum():
-            # Most words before a full stop are long: no abbreviation, number or initial.
+            # Most words before a full stop are longer than an initial and no abbreviation, number or numeral.
             word = text[max(text.rfind(" ", max(0, at - 24), at), 0) : at].lstrip()
-            if len(word) > 7 and word.isascii() and word.isalpha():
+            if len(word) > 4 and word.isalpha() and (len(word) > 7 or word.lower() not in _SHORT) and word.strip(_NUMERAL) and not "ऀ" <= word[-1] <= "ॣ":
                 classes[at] = DOT
                 continue
-        if to - at > 1 or text[at] == "…":
-            # An ellipsis may end a sentence before a capital letter; Chinese and Japanese set two of them inside.
-            classes[at:to] = OTHER if text[at] == "…" and to - at > 1 else SELDOM_DOT
-            continue
         begin = at
         while begin and (text[begin - 1].isalnum() or classes[begin - 1] == IGNORED):
             begin -= 1
