@@ -86,7 +86,7 @@ def tokens(text: Column | str) -> Column:
 
 
 def ngrams(list_of_tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, joined by spaces. Made by shifting the array, without a window."""
+    """All runs of ``n`` tokens, joined by spaces, without a window. Give it a column, not an expression: it is read once per run."""
     last = F.size(list_of_tokens) - n + 1
     runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(list_of_tokens, i, n), " "))
     return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
@@ -97,17 +97,29 @@ def recased(word: Column) -> Column:
     return F.concat(F.substring(word, 1, 1), F.lower(word.substr(F.lit(2), F.length(word))))
 
 
+def cleaned_words(list_of_words: Column, stopwords: list[str], again: bool = False) -> Column:
+    """Each word without punctuation and digits, recased; the empty string for stop words (as typed) and single characters.
+
+    With ``again`` words that are stop words once recased are emptied too.
+    """
+    stripped = F.transform(list_of_words, lambda w: F.regexp_replace(w, PUNCTUATION, ""))
+    kept = F.transform(stripped, lambda w: F.when(w.isin(stopwords) | (F.length(w) <= 1), F.lit("")).otherwise(recased(w)))
+    return F.transform(kept, lambda w: F.when(w.isin(stopwords), F.lit("")).otherwise(w)) if again else kept
+
+
+def joined(list_of_words: Column) -> Column:
+    """Words that aren't empty, joined by spaces."""
+    return F.array_join(F.filter(list_of_words, lambda w: w != ""), " ")
+
+
 def clean_filter(text: Column | str, stopwords: list[str]) -> Column:
     """Words without punctuation and digits, stop words (as typed) and single characters dropped, the rest recased."""
-    stripped = F.transform(words(text), lambda w: F.regexp_replace(w, PUNCTUATION, ""))
-    kept = F.filter(stripped, lambda w: (~w.isin(stopwords)) & (F.length(w) > 1))
-    return F.array_join(F.transform(kept, recased), " ")
+    return joined(cleaned_words(words(text), stopwords))
 
 
 def clean_ngram(text: Column | str, stopwords: list[str]) -> Column:
     """``clean_filter``, and stop words dropped once more after recasing."""
-    kept = F.filter(words(clean_filter(text, stopwords)), lambda w: ~w.isin(stopwords))
-    return F.array_join(kept, " ")
+    return joined(cleaned_words(words(text), stopwords, again=True))
 
 
 def word_count(text: Column | str) -> Column:
@@ -139,14 +151,18 @@ def replaced_words(text: Column | str, replacements: dict[str, str] = WORDS) ->
 
 
 def merged_collocations(text: Column | str, collocations: dict[str, str] = COLLOCATIONS) -> Column:
-    """Pairs of words that are one merged, wherever the two stand in the text: the merged word takes the first one's place."""
-    out = words(text)
-    for pair, merged in collocations.items():
-        first, second = pair.split()
-        both = F.array_contains(out, first) & F.array_contains(out, second)
-        without = F.transform(F.filter(out, lambda w, second=second: w != second), lambda w, first=first, merged=merged: F.when(w == first, F.lit(merged)).otherwise(w))
-        out = F.when(both, without).otherwise(out)
-    return F.array_join(out, " ")
+    """Pairs of words that are one merged, wherever the two stand in the text: the merged word takes the first one's place.
+
+    The pairs are folded over the words one after another, so a later pair may hold a word that an earlier one made.
+    """
+    pairs = F.array(*[F.struct(*[F.lit(x) for x in (*pair.split(), merged)]) for pair, merged in collocations.items()])
+
+    def merge(found: Column, pair: Column) -> Column:
+        first, second, merged = (pair[f"col{k}"] for k in (1, 2, 3))
+        without = F.transform(F.filter(found, lambda w: w != second), lambda w: F.when(w == first, merged).otherwise(w))
+        return F.when(F.array_contains(found, first) & F.array_contains(found, second), without).otherwise(found)
+
+    return F.array_join(F.aggregate(pairs, words(text), merge), " ")
 
 
 def clean_ngram_string(text: Column | str) -> Column:
@@ -155,7 +171,7 @@ def clean_ngram_string(text: Column | str) -> Column:
 
 
 def sorted_words(text: Column | str) -> Column:
-    return F.array_join(F.array_sort(words(text)), " ")
+    return F.array_join(F.sort_array(words(text)), " ")
 
 
 # Fixed values of the published Porter algorithm: endings by step and what they become.

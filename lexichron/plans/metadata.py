@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexichron.functions.periods import decade_of, halfdecade_of, midpoint_of, period_of, period_table
+from lexichron.functions.periods import halfdecade_of, midpoint_of, period_of, period_table
 from lexichron.functions.predicate import predicate
 from lexichron.operators import metadata as M
 from lexichron.plans.common import ARTICLES, articles, rounded
@@ -47,7 +47,6 @@ QUERIES = {
     "predicate_missing": lambda s, d: articles(s, d).filter(predicate("doi", ".isnull()")).select("id_kase"),
     "drop_last": lambda s, d: _drop_last(M.counts(articles(s, d), "dec")),
     "dense_row_ids": lambda s, d: _dense(articles(s, d)),
-    "lookup_title": lambda s, d: articles(s, d).filter(F.col("id_kase") == 7).select("id_kase", "title", decade_of("publicationYear").alias("dec")),
 }
 
 
@@ -109,5 +108,4 @@ SQL = {
         "SELECT dec, n FROM (SELECT dec, count(*) AS n, max(dec) OVER () AS last FROM articles WHERE dec IS NOT NULL GROUP BY dec) WHERE dec < last"
     ),
     "dense_row_ids": _sql("SELECT (row_number() OVER (ORDER BY id_kase) - 1)::BIGINT AS row_id, id_kase FROM articles"),
-    "lookup_title": _sql("SELECT id_kase, title, (floor(publicationYear / 10.0) * 10)::BIGINT AS dec FROM articles WHERE id_kase = 7"),
 }
