@@ -153,6 +153,7 @@ def formal_names(given: str) -> list[str]:
 
 
 _FORMAL = {folded(k): tuple(folded(x) for x in v.split()) for k, v in NICKNAMES.items()}
+_GIVEN = frozenset(_FORMAL) | {name for names in _FORMAL.values() for name in names}
 
 
 def read_name(name: str | None, givens: frozenset[str]) -> dict:
@@ -189,7 +190,7 @@ def read_name(name: str | None, givens: frozenset[str]) -> dict:
         shouted = [w for w in given_words if len(w) > 3 and w.isupper() and "." not in w]
         at = len(given_words) - 1
         if len(given_words) > 1:
-            known = lambda w: folded(w) in givens or folded(w) in _FORMAL
+            known = lambda w: folded(w) in givens or folded(w) in _GIVEN
             if len(shouted) == 1:
                 at = given_words.index(shouted[0])
             elif initial(given_words[-1]) or known(given_words[-1]) and not known(given_words[0]) and not initial(given_words[0]):

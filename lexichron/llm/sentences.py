@@ -164,7 +164,7 @@ def _dot_classes(text: str, classes: np.ndarray, lower_case: bool) -> None:
             if letters < 3:
                 continue
         elif following.isalpha():
-            if letters < 3 or not (following.isupper() and not word.isupper() or not (following.islower() or following.isupper())):
+            if letters < 3 and not word.islower() or not (following.isupper() and not word.isupper() or not (following.islower() or following.isupper())):
                 continue
         elif letters <= 4 and word[0].isupper() and _CHAPTER.match(text, to):
             continue
