@@ -73,9 +73,9 @@ def canonical_raw(entries: DataFrame) -> DataFrame:
     Author counts may be a number, a text or an object with ``@total``;
     an ``afid`` may be a text, an object with ``$``, or a list of both.
     """
-    parsed = entries.select("entry_id", "harvested_at", F.expr("try_parse_json(payload)").alias("v")).filter(
-        "v is not null"
-    )
+    # The parser stops after the first value; text that goes on after an object or list is not valid JSON.
+    whole = entries.filter(F.col("payload").rlike(r"^\s*(\{[\s\S]*\}|\[[\s\S]*\])\s*$"))
+    parsed = whole.select("entry_id", "harvested_at", F.expr("try_parse_json(payload)").alias("v")).filter("v is not null")
     under = """coalesce(try_variant_get(v, '$["search-results"].entry', 'variant'),
                         try_variant_get(v, '$.entry', 'variant'), v)"""
     first = parsed.select("entry_id", "harvested_at", F.expr(under).alias("v")).select(

@@ -65,6 +65,7 @@ def test_raw_shapes(spark):
         (8, "[]"),
         (9, json.dumps({"author": None, "affiliation": []})),
         (10, "3"),
+        (11, json.dumps(one) + " and more"),
     ]
     got = nested.canonical(None, raw(spark, [(i, p, T0, "clash") for i, p in payloads]))
     assert links(got, keep_unlinked=True) == [(1, 1, 1), (2, 2, 1), (2, 2, 3), (2, 3, 0), (3, 1, 1), (4, 1, 1)]
