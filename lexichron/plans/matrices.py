@@ -101,6 +101,15 @@ def _topic_words(s, d):
     return topics.topic_words(*topics.fit(_topic_documents(s, d)))
 
 
+def _term_topics(s, d):
+    return topics.term_topics(*topics.fit(_topic_documents(s, d)))
+
+
+def _coherence(s, d):
+    docs = _topic_documents(s, d)
+    return _r(topics.coherence(docs, topics.topic_words(*topics.fit(docs)), "source"), "coherence")
+
+
 def _trained(s, d):
     lines = _lines(s, d).select(F.split("line", " ").alias("tokens"))
     found = written(vectors.train(lines, size=32, epochs=2), "word-vectors")
@@ -125,6 +134,8 @@ QUERIES = {
     "vector_subset": lambda s, d: vectors.subset(_vectors(s, d), _hundredth(s, d)).select("word", "label"),
     "lda_topic_means": _topic_means,
     "lda_topic_words": _topic_words,
+    "lda_term_topics": _term_topics,
+    "lda_topic_coherence": _coherence,
     "word2vec_neighbours": _trained,
     "pca_projection": lambda s, d: vectors.projected(_vectors(s, d)),
 }
