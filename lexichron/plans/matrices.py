@@ -21,12 +21,16 @@ FOLLOWED = ["covenant", "letter"]
 LINE_SPLIT = r"[.!?\n]+"
 
 
-def _lines(s, d):
+def _each_line(s, d):
+    """``period, line``: every line as often as it occurs."""
     periods = articles(s, d).filter("period is not null").select("id_kase", "period")
     text = documents(s, d).filter("text is not null").join(periods, "id_kase")
     each = text.select("period", F.explode(F.split("text", LINE_SPLIT)).alias("line"))
-    cleaned = each.select("period", F.array_join(T.tokens(F.lower("line")), " ").alias("line")).filter("line <> ''")
-    return cleaned.groupBy("period", "line").agg(F.count("*").alias("w"))
+    return each.select("period", F.array_join(T.tokens(F.lower("line")), " ").alias("line")).filter("line <> ''")
+
+
+def _lines(s, d):
+    return _each_line(s, d).groupBy("period", "line").agg(F.count("*").alias("w"))
 
 
 def _vocabulary(lines):
@@ -111,9 +115,10 @@ def _coherence(s, d):
 
 
 def _trained(s, d):
-    lines = _lines(s, d).select(F.split("line", " ").alias("tokens"))
-    found = written(vectors.train(lines, size=32, epochs=2), "word-vectors")
-    return vectors.neighbours(s.createDataFrame([(w,) for w in FOLLOWED], "word string"), found, 10)
+    """Neighbours by vectors of each period."""
+    lines = written(_each_line(s, d).select("period", F.split("line", " ").alias("tokens")), "training-lines")
+    found = written(vectors.train_per(lines, "period"), "word-vectors")
+    return vectors.neighbours_per(s.createDataFrame([(w,) for w in FOLLOWED], "word string"), found, 10, "period")
 
 
 QUERIES = {
