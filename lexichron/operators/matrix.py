@@ -2,8 +2,8 @@
 
 Lines are short contexts, ``period, line, w``: a text that occurs ``w`` times.
 The weight stands for repetition, so repeated lines are one row.  Pairs are made
-inside the row of a line, whose length is bounded by what a line is, and only
-the fixed vocabulary takes part; no self-join, no shuffle before the sum.
+inside the row of a line, whose length is bounded by what a line is; no self-join,
+no shuffle before the sum.
 """
 
 from __future__ import annotations
@@ -78,7 +78,8 @@ def association_ranks(matrix: DataFrame, vocabulary: DataFrame, of: list[str]) -
     spark = matrix.sparkSession
     columns = spark.createDataFrame([(c,) for c in of], "col string")
     periods = matrix.select("period").distinct()
-    scaffold = periods.crossJoin(F.broadcast(columns)).crossJoin(F.broadcast(vocabulary.select(F.col("term").alias("row"))))  # chosen words only
+    asked = F.broadcast(periods.crossJoin(F.broadcast(columns)))  # chosen columns only
+    scaffold = vocabulary.select(F.col("term").alias("row")).crossJoin(asked)
     filled = scaffold.join(matrix.filter(F.col("col").isin(of)), ["period", "row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     order = W.partitionBy("period", "col").orderBy(F.desc(F.round("value", 9)), "row")
     return filled.select("period", "col", "row", (F.row_number().over(order) - 1).alias("rank"))

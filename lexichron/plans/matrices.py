@@ -1,12 +1,15 @@
 """Term matrices over bidecades, association ranks, vectors, topics.
 
 A line is a sentence-like stretch of a document between line breaks or full
-stops; its weight is how often it occurs in the period.  The vocabulary is the
-most frequent words, as a parameter.
+stops; its weight is how often it occurs in the period.  The vocabulary of a
+matrix query is what its SQL has, the most frequent words; the query of the same
+name with ``_whole`` takes every word.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from lexichron.functions import text as T
@@ -33,25 +36,27 @@ def _lines(s, d):
     return _each_line(s, d).groupBy("period", "line").agg(F.count("*").alias("w"))
 
 
-def _vocabulary(lines):
+def _vocabulary(lines, whole):
     words = lines.select("w", F.explode(F.split("line", " ")).alias("term"))
+    if whole:
+        return words.select("term").distinct()
     return words.groupBy("term").agg(F.sum("w").alias("n")).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term")
 
 
-def _line_terms(s, d):
+def _line_terms(s, d, whole):
     lines = written(_lines(s, d), "lines")
-    vocabulary = _vocabulary(lines)
-    return written(M.line_terms(lines, vocabulary, F.split("line", " ")), "line-terms"), vocabulary
+    vocabulary = _vocabulary(lines, whole)
+    return written(M.line_terms(lines, None if whole else vocabulary, F.split("line", " ")), "line-terms"), vocabulary
 
 
-def _counts(s, d):
-    found, _ = _line_terms(s, d)
+def _counts(s, d, whole):
+    found, _ = _line_terms(s, d, whole)
     rows = found.select("period", "line", "w", F.explode("terms").alias("t")).select("period", "line", "w", "t.term", F.col("t.tf").alias("value"))
     return M.cooccurrence(rows)
 
 
-def _weights(s, d):
-    found, vocabulary = _line_terms(s, d)
+def _weights(s, d, whole):
+    found, vocabulary = _line_terms(s, d, whole)
     return M.cooccurrence(M.tfidf(found)), vocabulary
 
 
@@ -61,15 +66,15 @@ def _r(df, *columns):
     return df
 
 
-def _lines_out(s, d, normalise):
+def _lines_out(s, d, normalise, whole):
     """Per period and term: how many weighted lines hold it, and the sum of its values."""
-    found, _ = _line_terms(s, d)
+    found, _ = _line_terms(s, d, whole)
     values = M.tfidf(found, normalise)
     return _r(values.groupBy("period", "term").agg(F.sum("w").alias("lines"), F.sum(F.col("w") * F.col("value")).alias("total")), "total")
 
 
-def _ranks(s, d, series=False):
-    matrix, vocabulary = _weights(s, d)
+def _ranks(s, d, whole, series=False):
+    matrix, vocabulary = _weights(s, d, whole)
     ranks = M.association_ranks(matrix, vocabulary, FOLLOWED)
     if not series:
         return ranks.withColumn("rank", F.col("rank").cast("bigint"))
@@ -121,17 +126,22 @@ def _trained(s, d):
     return vectors.neighbours_per(s.createDataFrame([(w,) for w in FOLLOWED], "word string"), found, 10, "period")
 
 
-QUERIES = {
-    "count_cooc_by_bidecade": lambda s, d: _counts(s, d),
-    "cooc_diagonal": lambda s, d: _counts(s, d).filter("row = col").select("period", F.col("row").alias("term"), "value"),
-    "pmi_k": lambda s, d: _r(M.pmi_k(_counts(s, d)), "pmi"),
-    "pmi_normalised": lambda s, d: _r(M.pmi_normalised(M.pmi_k(_counts(s, d))), "value"),
-    "tfidf_manual": lambda s, d: _lines_out(s, d, False),
-    "tfidf_l2": lambda s, d: _lines_out(s, d, True),
-    "tfidf_cooc_by_bidecade": lambda s, d: _r(_weights(s, d)[0], "value"),
-    "cooc_colmax": lambda s, d: _r(M.column_maximum(_weights(s, d)[0]), "value"),
+MATRICES = {
+    "count_cooc_by_bidecade": _counts,
+    "cooc_diagonal": lambda s, d, whole: _counts(s, d, whole).filter("row = col").select("period", F.col("row").alias("term"), "value"),
+    "pmi_k": lambda s, d, whole: _r(M.pmi_k(_counts(s, d, whole)), "pmi"),
+    "pmi_normalised": lambda s, d, whole: _r(M.pmi_normalised(M.pmi_k(_counts(s, d, whole))), "value"),
+    "tfidf_manual": lambda s, d, whole: _lines_out(s, d, False, whole),
+    "tfidf_l2": lambda s, d, whole: _lines_out(s, d, True, whole),
+    "tfidf_cooc_by_bidecade": lambda s, d, whole: _r(_weights(s, d, whole)[0], "value"),
+    "cooc_colmax": lambda s, d, whole: _r(M.column_maximum(_weights(s, d, whole)[0]), "value"),
     "assoc_rank": _ranks,
-    "assoc_rank_series": lambda s, d: _ranks(s, d, series=True),
+    "assoc_rank_series": lambda s, d, whole: _ranks(s, d, whole, series=True),
+}
+
+QUERIES = {
+    **{name: functools.partial(query, whole=False) for name, query in MATRICES.items()},
+    **{f"{name}_whole": functools.partial(query, whole=True) for name, query in MATRICES.items()},
     "vector_neighbours": lambda s, d: _r(vectors.neighbours(_hundredth(s, d), _vectors(s, d), 10), "similarity"),
     "pair_similarity": lambda s, d: _r(vectors.pair_similarity(_pairs(s, d), _vectors(s, d)), "similarity"),
     "ego_edges": lambda s, d: vectors.ego_edges(0, [1, 2, 3, 5, 8, 13], _vectors(s, d)),

@@ -1,0 +1,34 @@
+"""Queries over the whole vocabulary: the stated SQL without its limit gives the same."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import compare
+from lexichron.plans import matrices
+
+
+@pytest.fixture(scope="module")
+def db(sf_dir):
+    found = duckdb.connect()
+    for table in ("metadata_df", "unigrams_lemmata_dict", "documents"):
+        found.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    return found
+
+
+def unlimited(name, limit):
+    sql = entry.oracle_sql()[name]
+    assert sql.count(limit) == 1
+    return sql.replace(limit, "")
+
+
+def same(spark, sf_dir, db, name, sql):
+    df = entry.queries()[f"{name}_whole"](spark, sf_dir)
+    result = db.execute(sql)
+    got, want = compare.rows_of(df.columns, df.collect()), compare.rows_of([d[0] for d in result.description], result.fetchall())
+    assert got == want and len(got) > len(db.execute(entry.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["count_cooc_by_bidecade", "pmi_normalised", "tfidf_manual", "tfidf_l2", "tfidf_cooc_by_bidecade", "assoc_rank"])
+def test_matrix_of_every_word(spark, sf_dir, db, name):
+    same(spark, sf_dir, db, name, unlimited(name, f"ORDER BY sum(w) DESC, term LIMIT {matrices.VOCABULARY}"))
