@@ -18,6 +18,8 @@ WORDS = ["letter", "Letter", "history", "covenant", "nowhere"]
 STOPS = "the of and to in a is was that for it with as by on not his be at from are this have an had or were which".split()
 LATIN_STOPS = "et in est ad ut non cum de ex quae the and".split()
 LEAST = 20
+#: N-grams that the SQL of freq_by_bidecade and mean_freq_ranking takes; the queries with ``_whole`` take all.
+MOST = 50
 
 
 def _fifties(s, d):
@@ -50,18 +52,19 @@ def _pct_decade(s, d):
     return B.percentages(rows, totals, "dec", WORDS).withColumn("pct", rounded("pct"))
 
 
-def _freq_bidecade(s, d):
+def _shares(s, d, whole):
+    """``period, ngram, f``: relative frequencies of the n-grams, all of them or those that the SQL has."""
     rows, totals = _series(s, d)
-    top = B.top(B.merge(rows), 50).select("ngram")
-    kept = rows.join(F.broadcast(top), "ngram").join(F.broadcast(totals), "period")
-    return kept.select("period", "ngram", rounded(F.try_divide(F.col("n").cast("double"), F.col("total")), 9).alias("freq"))
+    kept = rows if whole else rows.join(F.broadcast(B.top(B.merge(rows), MOST).select("ngram")), "ngram")
+    return kept.join(F.broadcast(totals), "period").select("period", "ngram", F.try_divide(F.col("n").cast("double"), F.col("total")).alias("f"))
 
 
-def _mean_freq(s, d):
-    rows, totals = _series(s, d)
-    top = B.top(B.merge(rows), 50).select("ngram")
-    share = rows.join(F.broadcast(top), "ngram").join(F.broadcast(totals), "period").withColumn("f", F.try_divide(F.col("n").cast("double"), F.col("total")))
-    return share.groupBy("ngram").agg(rounded(F.sum("f") / len(PERIODS), 9).alias("mean_freq"))
+def _freq_bidecade(s, d, whole=False):
+    return _shares(s, d, whole).select("period", "ngram", rounded("f", 9).alias("freq"))
+
+
+def _mean_freq(s, d, whole=False):
+    return _shares(s, d, whole).groupBy("ngram").agg(rounded(F.sum("f") / len(PERIODS), 9).alias("mean_freq"))
 
 
 def _zero_filled(s, d):
@@ -138,6 +141,8 @@ QUERIES = {
     "pct_frequency_by_decade": _pct_decade,
     "freq_by_bidecade": _freq_bidecade,
     "mean_freq_ranking": _mean_freq,
+    "freq_by_bidecade_whole": lambda s, d: _freq_bidecade(s, d, whole=True),
+    "mean_freq_ranking_whole": lambda s, d: _mean_freq(s, d, whole=True),
     "term_series_zero_filled": _zero_filled,
     "vocab_period_pivot": lambda s, d: B.pivoted(_series(s, d)[0], PERIODS),
     "two_round_keys": _two_rounds,

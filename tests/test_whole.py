@@ -32,3 +32,8 @@ def same(spark, sf_dir, db, name, sql):
 @pytest.mark.parametrize("name", ["count_cooc_by_bidecade", "pmi_normalised", "tfidf_manual", "tfidf_l2", "tfidf_cooc_by_bidecade", "assoc_rank"])
 def test_matrix_of_every_word(spark, sf_dir, db, name):
     same(spark, sf_dir, db, name, unlimited(name, f"ORDER BY sum(w) DESC, term LIMIT {matrices.VOCABULARY}"))
+
+
+@pytest.mark.parametrize("name", ["freq_by_bidecade", "mean_freq_ranking"])
+def test_frequencies_of_every_ngram(spark, sf_dir, db, name):
+    same(spark, sf_dir, db, name, unlimited(name, "ORDER BY sum(n) DESC, ngram LIMIT 50"))
