@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexichron.session import cores
@@ -130,6 +130,16 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterato
         at = to
 
 
+def share(sample: int, total: int) -> int:
+    """The limit of ``in_share`` that chooses about ``sample`` of ``total`` rows: of 63 bits, so that it holds however many there are."""
+    return min(sample, total) * (2**63 - 1) // max(total, 1)
+
+
+def in_share(limit: Column, *columns: str) -> Column:
+    """Whether a row is in a sample, by a hash of its columns."""
+    return F.xxhash64(*columns, F.lit(11)).bitwiseAND(F.lit(2**63 - 1)) <= limit
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` in at least as many partitions as there are cores: small files else leave cores idle."""
     wanted = cores(df.sparkSession)
