@@ -2,16 +2,25 @@
 
 A name is read into parts: titles dropped, letters folded, abbreviations spelled
 out, the surname found.  Names whose parts are alike fall into one class at
-once.  Classes are blocked by phonetic codes: the code of the surname beside the
-initial of the given name, and that code with any one symbol left out, so that
-one wrong letter anywhere still leaves a common block; for organisations, the
-codes of the sorted tokens in the same way.  Classes of a common block are
-compared by Jaro-Winkler and a table of nicknames, an edit distance follows as
-an exact check, and accepted pairs are clustered by connected components.
+once.  Classes are blocked by phonetic codes of their sorted tokens, where the
+given name of a person counts by its initial, so that "B. Smith" meets "Bill
+Smith"; a code with any one symbol left out is a block too, so one wrong letter
+leaves a common block.  Persons of three or more words, and those whose order is
+not certain, are also blocked by all their words whatever the order.
+
+Classes of a common block are compared by Jaro-Winkler and a table of nicknames,
+and accepted pairs are clustered by connected components.  How similar two words
+must be depends on what an exact check finds: ``ONE_EDIT`` where they are one
+edit apart, ``TWO_EDITS`` where they are long and two edits apart, or where they
+differ by one letter more or less once both are in one spelling of their sounds.
 
 A name with initials only joins the one person of that surname it fits; where it
 fits several, it joins none.
 
+A block of more than ``HOT_BLOCK`` classes is split: full names then meet only
+where the phonetic codes of their given names do too (which ``compare`` asks of
+any two full names, so no link is lost), and names with initials meet the block.
+
 Defined results: null and blank names, and words that name nobody, stand alone;
 the same string from any number of rows is one name; a name of one word is
 linked only to the same word.  Blocks are joined, never collected.
@@ -21,7 +30,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +39,13 @@ from pyspark.sql import functions as F
 from lexichron.llm.components import connected_components
 from lexichron.session import written
 
-#: Least Jaro-Winkler similarity of two spellings, and most edits between them.
-LEAST_SIMILAR = 0.8
-MOST_EDITS = 1
+#: Least Jaro-Winkler similarities of two spellings, by what is between them, and the letters from which two edits may be.
+ONE_EDIT, TWO_EDITS = 0.8, 0.94
+LONG = 8
+#: Classes of one block from which it is split.
+HOT_BLOCK = 200
+#: A word is known as a given name if it stands after the comma of so many surnames, and in such a share of the names with a comma that hold it.
+GIVEN_SURNAMES, GIVEN_SHARE = 3, 0.75
 
 # Words that name nobody.
 NOBODY = frozenset("anon anonymous unknown various sn nn na none null ed eds editor editors staff author authors unbekannt anonyme anonimo verschiedene".split())
@@ -50,6 +63,8 @@ ABBREVIATIONS = {
 ORGANISATIONS = frozenset(
     "institute university society archive seminary library college academy department centre faculty museum association foundation school council press committee".split()
 )
+# Words that belong to the surname after them.
+PARTICLES = frozenset("van von der den ter ten zu zur de del della di da dos das du la le el al bin ibn y".split())
 JOINING = frozenset("of for and the in at de der des du la le und et et".split())
 # Nicknames and the names they may stand for.
 NICKNAMES = {
@@ -90,14 +105,34 @@ def spelled(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower().translate(_SPECIAL)) if c.isalnum())
 
 
+#: Letters that stand for one sound, in the order in which they are replaced.
+_RESPELLED = [(re.compile(x), y) for x, y in (("ph", "f"), ("sch|sh", "s"), ("(?<=.)h", ""), ("ck|c|q", "k"), ("(?<=[^aeiou])yo", "e"), ("[yj]", "i"), ("[vw]", "f"), ("z", "s"), ("x", "ks"), ("dt", "t"), (r"i+(?=[aeou])(?<=.)(?<!^i)", ""))]
+
+
+def respelled(word: str) -> str:
+    """A folded word in one spelling of its sounds: ph as f, c and q as k, y and j as i, v and w as f, z as s, no h but a first one."""
+    for pattern, by in _RESPELLED:
+        word = pattern.sub(by, word)
+    return _DOUBLE.sub(r"\1", word)
+
+
 def phonetic(word: str) -> str:
     """Classes of the consonants of a folded word; its first letter if it has none."""
     return word.translate(_CODES) or word[:1].upper()
 
 
-def without_one(code: str) -> set[str]:
-    """The code, and the code with any one symbol left out."""
-    return {code} | {code[:i] + code[i + 1 :] for i in range(len(code))}
+def without_one(code: str, least: int = 2) -> set[str]:
+    """The code, and the code with any one symbol left out, if ``least`` are left."""
+    return {code} | ({code[:i] + code[i + 1 :] for i in range(len(code))} if len(code) > least else set())
+
+
+def codes_of(words: Iterable[str], least: int = 2) -> set[str]:
+    """Phonetic codes under which spellings of any of the words meet: as they are, and in one spelling of their sounds."""
+    return {v for w in words for x in {phonetic(w), phonetic(respelled(w))} for v in without_one(x, least)}
+
+
+def sound_equal(x: str, y: str) -> bool:
+    return phonetic(x) == phonetic(y) or phonetic(respelled(x)) == phonetic(respelled(y))
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -139,12 +174,28 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def near(a: str, b: str, a_typed: str, b_typed: str) -> bool:
-    """Whether two words are spellings of one, folded or as typed: similar by Jaro-Winkler, and no more than one edit apart."""
-    return any(
-        min(len(x), len(y)) >= 4 and jaro_winkler(x, y) >= LEAST_SIMILAR and edits(x, y, MOST_EDITS) <= MOST_EDITS
-        for x, y in ((a, b), (a_typed, b_typed))
-    )
+def alike(x: str, y: str, most: int = 2) -> bool:
+    """Whether two words are spellings of one, as they stand. Two letters that are both others are no slip."""
+    if min(len(x), len(y)) < 4 or abs(len(x) - len(y)) > most:
+        return False
+    similar = jaro_winkler(x, y)
+    if similar < ONE_EDIT:
+        return False
+    if edits(x, y, 1) <= 1:
+        return True
+    exchanged = len(x) == len(y) and sum(i != j for i, j in zip(x, y)) == 2
+    return most > 1 and similar >= TWO_EDITS and min(len(x), len(y)) >= LONG and not exchanged and edits(x, y, 2) <= 2
+
+
+def near(a: str, b: str, a_typed: Iterable[str], b_typed: Iterable[str], by_sound: bool = True) -> bool:
+    """Whether two words are spellings of one: folded, as typed in any way, or, ``by_sound``, in one spelling of their sounds."""
+    if a == b or min(len(a), len(b)) < 3:
+        return a == b
+    if alike(a, b, 1) or any(alike(i, j) for i in a_typed for j in b_typed):
+        return True
+    x, y = respelled(a), respelled(b)
+    # another vowel may be another name, but a letter more or less seldom is
+    return by_sound and (x == y or min(len(x), len(y)) > 4 and len(x) != len(y) and jaro_winkler(x, y) >= TWO_EDITS and edits(x, y, 1) <= 1)
 
 
 def formal_names(given: str) -> list[str]:
@@ -156,15 +207,37 @@ _FORMAL = {folded(k): tuple(folded(x) for x in v.split()) for k, v in NICKNAMES.
 _GIVEN = frozenset(_FORMAL) | {name for names in _FORMAL.values() for name in names}
 
 
-def read_name(name: str | None, givens: frozenset[str]) -> dict:
-    """The parts of a name: kind (person, organisation or none), class, surname, given, initials, and block keys.
-
-    ``givens`` are folded given names known from elsewhere; they tell "Surname Given" from "Given Surname".
-    """
-    nobody = {"kind": "none", "cls": None, "surname": "", "given": "", "initials": "", "typed": "", "typed_given": "", "keys": []}
+def _words_of(name: str | None) -> tuple[str, list[str]]:
+    """The name without notes on roles, and its words."""
     text = unicodedata.normalize("NFKC", name or "").strip()
     text = re.sub(r"\((?:eds?|hrsg|trans|transl|comp)\.?\)", " ", text, flags=re.I)
-    words = re.findall(r"[^\s,;()\[\]/&]+", text)
+    return text, re.findall(r"[^\s,;()\[\]/&]+", text)
+
+
+def _is_initial(word: str) -> bool:
+    return bool(re.fullmatch(r"(?:[^\W\d_]\.?[-‐]?){1,3}", word)) and (len(re.sub(r"\W", "", word)) == 1 or "." in word or word.isupper() and len(word) < 3)
+
+
+def ends_of(name: str | None) -> tuple[bool, str, str]:
+    """Whether there is a comma; then the surname and the first given name, else the first and the last word, folded."""
+    text, words = _words_of(name)
+    if "," in text:
+        first, rest = text.split(",", 1)
+        given = next((folded(w) for w in re.findall(r"[^\s,;()\[\]/.]+", rest) if len(w) > 1 and folded(w) not in TITLES), "")
+        return True, "".join(folded(w) for w in first.split() if folded(w) not in TITLES), given
+    words = [w for w in words if folded(w) not in TITLES]
+    return (False, folded(words[0]), folded(words[-1])) if words else (False, "", "")
+
+
+def read_name(name: str | None, first_known: bool = False, last_known: bool = False) -> dict:
+    """The parts of a name: kind (person, organisation or none), class, surname, given, initials, words, and block keys.
+
+    ``first_known``, ``last_known``: whether the first and the last word are known as given names; they tell
+    "Surname Given" from "Given Surname".  ``words`` are all words in order of the alphabet, a comma first if
+    there was one, of names of three words or more and of those whose order is not certain.
+    """
+    nobody = {"kind": "none", "cls": None, "surname": "", "given": "", "double": "", "initials": "", "words": "", "typed": "", "typed_given": "", "keys": []}
+    text, words = _words_of(name)
     plain = [re.sub(r"[^\w'’\-]", "", w) for w in words]
     lowered = [folded(w) for w in plain]
     meaning = [w for w in lowered if w]
@@ -172,33 +245,35 @@ def read_name(name: str | None, givens: frozenset[str]) -> dict:
         return nobody
     expanded = [ABBREVIATIONS.get(w, w) for w in (re.sub(r"\W", "", unicodedata.normalize("NFKD", p.lower())) for p in plain) if w]
     if any(w in ORGANISATIONS for w in expanded):
-        tokens = sorted(folded(w) for w in expanded if w not in JOINING)
-        codes = [phonetic(t) for t in tokens]
-        keys = {
-            "o|" + "|".join(sorted(codes[:i] + codes[i + 1 :])) + "|" + v
-            for i in range(len(tokens))
-            if len(tokens[i]) >= 5
-            for v in without_one(codes[i])
-        }
-        return {"kind": "organisation", "cls": "o|" + " ".join(tokens), "surname": " ".join(tokens), "given": "", "initials": "", "typed": "", "typed_given": "", "keys": sorted(keys)}
-    if "," in text:
+        kept = [w for w in expanded if w not in JOINING]
+        tokens = sorted(folded(w) for w in kept)
+        # tokens that are no known word of such names may be typed wrongly
+        return nobody | {
+            "kind": "organisation", "cls": "o|" + " ".join(tokens), "surname": " ".join(tokens),
+            "typed": " ".join(spelled(w) for w in sorted(kept, key=folded)), "keys": sorted(_keys_of("o", tokens)),
+        }
+    comma, certain = "," in text, True
+    if comma:
         first, rest = (x.strip() for x in text.split(",", 1))
         surname_words, given_words = first.split(), re.findall(r"[^\s,;()\[\]/]+", rest)
     else:
         given_words = [w for w in words if folded(w) not in TITLES or len(words) == 1]
-        initial = lambda w: bool(re.fullmatch(r"(?:[^\W\d_]\.?[-‐]?){1,3}", w)) and (len(re.sub(r"\W", "", w)) == 1 or "." in w or w.isupper() and len(w) < 3)
         shouted = [w for w in given_words if len(w) > 3 and w.isupper() and "." not in w]
         at = len(given_words) - 1
         if len(given_words) > 1:
-            known = lambda w: folded(w) in givens or folded(w) in _GIVEN
+            known_first, known_last = first_known or folded(given_words[0]) in _GIVEN, last_known or folded(given_words[-1]) in _GIVEN
             if len(shouted) == 1:
                 at = given_words.index(shouted[0])
-            elif initial(given_words[-1]) or known(given_words[-1]) and not known(given_words[0]) and not initial(given_words[0]):
+            elif _is_initial(given_words[-1]) or known_last and not known_first and not _is_initial(given_words[0]):
                 at = 0
-        surname_words, given_words = [given_words[at]] if given_words else [], given_words[:at] + given_words[at + 1 :]
-    surname = "".join(folded(w) for w in surname_words if folded(w) not in TITLES or len(surname_words) == 1)
-    typed = "".join(spelled(w) for w in surname_words if folded(w) not in TITLES or len(surname_words) == 1)
-    full, initials, typed_given = "", "", ""
+            certain = len(shouted) == 1 or known_first != known_last or _is_initial(given_words[0]) or _is_initial(given_words[-1])
+        begin = at
+        while begin > 1 and given_words[begin - 1].lower() in PARTICLES:
+            begin -= 1
+        surname_words, given_words = given_words[begin : at + 1], given_words[:begin] + given_words[at + 1 :]
+    surname_words = [w for w in surname_words if folded(w) not in TITLES or len(surname_words) == 1]
+    surname, typed = "".join(map(folded, surname_words)), "".join(map(spelled, surname_words))
+    full, double, initials, typed_given, tokens = "", "", "", "", [folded(w) for w in surname_words]
     for word in given_words:
         if folded(word) in TITLES:
             continue
@@ -209,22 +284,56 @@ def read_name(name: str | None, givens: frozenset[str]) -> dict:
             initials += folded(word[0]) + folded(word[1])
         else:
             whole = folded("".join(parts))
+            tokens.append(whole)
             if not full:
                 full, typed_given = whole, spelled("".join(parts))
                 initials = "".join(folded(p)[:1] for p in parts) + initials
-            elif len(initials) <= 1 and full + whole in givens:
-                full, initials, typed_given = full + whole, initials + whole[:1], typed_given + spelled("".join(parts))
             else:
+                double = double or full + whole
                 initials += whole[:1]
     if not surname:
         return nobody
-    codes = {phonetic(surname), phonetic(typed)}
+    in_order = len(tokens) < 3 and (comma or certain)
+    tokens = [] if in_order else sorted(t for t in tokens if t)
     firsts = sorted({f[:1] for f in formal_names(full)}) if full else [initials[:1]] if initials else []
-    keys = {f"p|{v}|{i}" for code in codes for v in without_one(code) for i in firsts} | ({f"s|{code}" for code in codes} if full else set())
+    # a short surname is linked to the same one only, so its letters are the block
+    codes = {"=" + respelled(surname)} if len(surname) < 5 else codes_of([surname, typed])
+    keys = {f"p|{c}|{i}" for c in codes for i in firsts} | (_keys_of("t", tokens) if len(tokens) > 1 else set())
     formal = _FORMAL.get(full)
     given = formal[0] if formal and len(formal) == 1 else full
-    middle = initials[1:]
-    return {"kind": "person", "cls": f"p|{surname}|{given}|{initials if not full else middle}", "surname": surname, "given": given, "initials": initials, "typed": typed, "typed_given": typed_given, "keys": sorted(keys)}
+    said = ("," if comma else "") + " ".join(tokens) if tokens else ""
+    return {
+        "kind": "person", "cls": f"p|{surname}|{given}|{initials if not full else initials[1:]}|{double}|{said}", "surname": surname, "given": given,
+        "double": double, "initials": initials, "words": said, "typed": typed, "typed_given": typed_given, "keys": sorted(keys),
+    }
+
+
+def _keys_of(kind: str, tokens: list[str]) -> set[str]:
+    """Codes of the sorted tokens, and those with one symbol of one long token left out."""
+    codes = [phonetic(respelled(t)) for t in tokens]
+    return {f"{kind}|" + "|".join(sorted(codes[:i] + codes[i + 1 :])) + "|" + v for i in range(len(tokens)) for v in (codes_of([tokens[i]]) if len(tokens[i]) >= 5 else {codes[i]})}
+
+
+def _same_words(x: list[str], y: list[str], x_typed: Iterable[str], y_typed: Iterable[str]) -> bool:
+    """Whether two lists of words are alike in any order, but for one that may be another spelling."""
+    if len(x) != len(y):
+        return False
+    left, right = list(x), list(y)
+    for t in x:
+        if t in right:
+            left.remove(t)
+            right.remove(t)
+    if len(left) == 1 and min(len(left[0]), len(right[0])) >= 5:
+        a_typed = [w for t in x_typed for w in t.split() if folded(w) == left[0]]
+        b_typed = [w for t in y_typed for w in t.split() if folded(w) == right[0]]
+        return near(left[0], right[0], a_typed, b_typed)
+    return not left
+
+
+def given_codes(of: dict) -> set[str]:
+    """Codes under which the given names of one person meet."""
+    typed = of["typed_given"]
+    return codes_of([f for g in (of["given"], of["double"]) if g for f in formal_names(g)] + [typed] * (isinstance(typed, str) and len(typed) > 0), 1)
 
 
 def compare(a: dict, b: dict) -> tuple[str | None, bool, bool]:
@@ -236,28 +345,25 @@ def compare(a: dict, b: dict) -> tuple[str | None, bool, bool]:
     if a["kind"] != b["kind"]:
         return apart
     if a["kind"] == "organisation":
-        x, y = a["surname"].split(), b["surname"].split()
-        if len(x) != len(y):
-            return apart
-        left, right = list(x), list(y)
-        for t in x:
-            if t in right:
-                left.remove(t)
-                right.remove(t)
-        if len(left) != 1 or min(len(left[0]), len(right[0])) < 5:
-            return (None if left else "same", not left, False)
-        return ("same" if near(left[0], right[0], left[0], right[0]) else None), False, False
-    equal = a["surname"] == b["surname"]
+        return ("same" if _same_words(a["surname"].split(), b["surname"].split(), a["typed"], b["typed"]) else None), a["surname"] == b["surname"], False
+    if a["words"] and b["words"] and not (a["words"][0] == b["words"][0] == ","):
+        x, y = (w["words"].lstrip(",").split() for w in (a, b))
+        if len(x) > 1 and _same_words(x, y, (), ()):
+            return "same", True, False
+    equal = a["surname"] == b["surname"] or respelled(a["surname"]) == respelled(b["surname"])
     if not equal and (min(len(a["surname"]), len(b["surname"])) < 5 or not near(a["surname"], b["surname"], a["typed"], b["typed"])):
         return apart
+    sounds_equal = equal or sound_equal(a["surname"], b["surname"])
     i, j = a["initials"], b["initials"]
     middle = len(i) > 1 and len(j) > 1
     if middle and i[1] not in j[1:] and j[1] not in i[1:]:
         return apart
     if a["given"] and b["given"]:
-        one = set(formal_names(a["given"])) & set(formal_names(b["given"]))
-        if not one and equal:
-            one = any(near(x, y, a["typed_given"], b["typed_given"]) for x in formal_names(a["given"]) for y in formal_names(b["given"]))
+        names = lambda p: {respelled(f) for g in (p["given"], p["double"]) if g for f in formal_names(g)}
+        one = bool(names(a) & names(b))
+        if not one and sounds_equal and set(a["codes"]) & set(b["codes"]):
+            by_sound = not (a["given"] in _GIVEN and b["given"] in _GIVEN)  # two names in use are two names, however they sound
+            one = any(near(x, y, a["typed_given"], b["typed_given"], by_sound) for x in formal_names(a["given"]) for y in formal_names(b["given"]))
         return ("same" if one else None), equal, middle
     if not i or not j:
         return apart
@@ -269,75 +375,102 @@ def compare(a: dict, b: dict) -> tuple[str | None, bool, bool]:
     return ("initials" if equal else None), equal, middle
 
 
-PARSED = pa.schema(
-    [("name", pa.string()), ("kind", pa.string()), ("cls", pa.string()), ("surname", pa.string()), ("given", pa.string()), ("initials", pa.string()), ("typed", pa.string()), ("typed_given", pa.string()), ("keys", pa.list_(pa.string()))]
-)
-PARSED_DDL = "name string, kind string, cls string, surname string, given string, initials string, typed string, typed_given string, keys array<string>"
-PARTS = ("kind", "surname", "given", "initials", "typed", "typed_given")
-
-#: A word is known as a given name once this many surnames came with it before a comma; at most so many words are known.
-GIVEN_SURNAMES = 5
-GIVEN_MOST = 50_000
-
-
-def given_names(names: DataFrame) -> frozenset[str]:
-    """Folded words that stand after the comma of "Surname, Given" with many surnames."""
-    split = names.filter("name like '%,%'").select(F.split("name", ",").alias("p")).filter(F.size("p") == 2)
-    words = split.select(F.trim(F.col("p")[0]).alias("s"), F.explode(F.split(F.trim(F.col("p")[1]), r"[\s.]+")).alias("g"))
-    often = (
-        words.filter(F.length("g") > 2)
-        .groupBy("g")
-        .agg(F.approx_count_distinct("s").alias("n"))
-        .filter(F.col("n") >= GIVEN_SURNAMES)
-        .orderBy(F.desc("n"), "g")
-        .limit(GIVEN_MOST)
-    )
-    return frozenset(folded(r[0]) for r in often.collect())
+ONE = ("kind", "cls", "surname", "given", "double", "initials", "words", "typed", "typed_given")
+PARSED = pa.schema([("name", pa.string()), *((c, pa.string()) for c in ONE), ("keys", pa.list_(pa.string())), ("codes", pa.list_(pa.string()))])
+PARSED_DDL = "name string, " + ", ".join(f"{c} string" for c in ONE) + ", keys array<string>, codes array<string>"
+PARTS = ("kind", "surname", "given", "double", "initials", "words", "typed", "typed_given", "codes")
+LINKS = pa.schema([("a", pa.string()), ("b", pa.string()), ("how", pa.string()), ("equal", pa.bool_()), ("middle", pa.bool_())])
+LINKS_DDL = "a string, b string, how string, equal boolean, middle boolean"
 
 
-def _parser(givens: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            read = [read_name(n, givens) for n in names]
-            columns = [names, *([r[c] for r in read] for c in PARSED.names[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PARSED.types)], schema=PARSED)
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [ends_of(n) for n in batch.column(0).to_pylist()]
+        columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["name", "comma", "first", "last"])
 
-    return run
 
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names, firsts, lasts = (batch.column(k).to_pylist() for k in range(3))
+        read = [read_name(n, bool(f), bool(l)) for n, f, l in zip(names, firsts, lasts)]
+        codes = [sorted(given_codes(r)) if r["given"] else [] for r in read]
+        columns = [names, *([r[c] for r in read] for c in (*ONE, "keys")), codes]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PARSED.types)], schema=PARSED)
 
-LINKS = pa.schema([("a", pa.string()), ("b", pa.string()), ("how", pa.string()), ("equal", pa.bool_()), ("middle", pa.bool_())])
+
+def given_words(ends: DataFrame) -> DataFrame:
+    """``word``: those known as given names from the names with a comma, of ``name, comma, first, last``.
+
+    By share, so that it does not depend on how many names there are: a surname that now and then stands after a comma is none.
+    """
+    pairs = ends.filter("comma and first <> '' and last <> ''").select("first", "last").distinct()
+    each = pairs.select(F.col("last").alias("word"), F.lit(1).alias("given")).unionByName(pairs.select(F.col("first").alias("word"), F.lit(0).alias("given")))
+    stats = each.groupBy("word").agg(F.sum("given").alias("g"), F.count("*").alias("n"))
+    return stats.filter((F.col("g") >= GIVEN_SURNAMES) & (F.col("g") >= F.col("n") * GIVEN_SHARE)).select("word")
+
+
+def parsed_names(names: DataFrame) -> DataFrame:
+    """The parts of each distinct name."""
+    ends = written(names.mapInArrow(_ends, "name string, comma boolean, first string, last string"), "name-ends")
+    known = given_words(ends)
+    of_first, of_last = known.select(F.col("word").alias("first"), F.lit(True).alias("f")), known.select(F.col("word").alias("last"), F.lit(True).alias("l"))
+    told = ends.filter("not comma").join(of_first, "first", "left").join(of_last, "last", "left").select("name", "f", "l")
+    other = ends.filter("comma").select("name", F.lit(None).cast("boolean").alias("f"), F.lit(None).cast("boolean").alias("l"))
+    return told.unionByName(other).mapInArrow(_parse, PARSED_DDL).filter("cls is not null")
+
+
+def name_classes(parsed: DataFrame) -> DataFrame:
+    """One row per class; ``typed`` and ``typed_given`` are all ways in which it was typed."""
+    fixed = ("kind", "surname", "given", "double", "initials", "words")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    return parsed.groupBy("cls").agg(*[F.first(c).alias(c) for c in fixed], F.collect_set("typed").alias("typed"), F.collect_set("typed_given").alias("typed_given"), every("keys"), every("codes"))
 
 
 def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.to_pylist()
+        left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         kept = []
-        for r in rows:
-            a, b = ({c: r[f"{c}_{side}"] for c in PARTS} for side in "ab")
+        for a, b in zip(left, right):
             how, equal, middle = compare(a, b)
             if how:
                 # of an "initial" link, a is the name with initials only
                 turn = how == "initial" and bool(a["given"])
-                kept.append((r["b"], r["a"], how, equal, middle) if turn else (r["a"], r["b"], how, equal, middle))
+                kept.append((b["cls"], a["cls"], how, equal, middle) if turn else (a["cls"], b["cls"], how, equal, middle))
         columns = list(zip(*kept)) if kept else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, LINKS.types)], schema=LINKS)
 
 
-def name_entities(names: DataFrame) -> DataFrame:
+def block_sizes(classes: DataFrame) -> DataFrame:
+    """``key, n``: classes of each block."""
+    return classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def candidates(classes: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
+    """``a, b``: pairs of classes of a common block, as structs, each pair once: in the first of the blocks they share."""
+    hot = block_sizes(classes).filter(F.col("n") > hot_block).select("key", F.lit(True).alias("hot"))
+    keyed = classes.select(F.explode("keys").alias("key"), F.struct("cls", *PARTS).alias("c"), "keys", "codes").join(hot, "key", "left")
+    side = lambda df, s: df.select("key", F.col("c").alias(s), F.col("keys").alias(f"keys_{s}"), F.col("codes").alias(f"codes_{s}"))
+    first = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
+    usual = keyed.filter("hot is null")
+    pairs = side(usual, "a").join(side(usual, "b"), "key").filter((F.col("a.cls") < F.col("b.cls")) & first)
+    # Hot blocks: full names by the codes of their given names as well; those with initials only, and organisations, with the whole block.
+    split = keyed.filter("hot")
+    coded = split.filter(F.size("codes") > 0)
+    by_code = lambda s: side(coded, s).withColumn("code", F.explode(f"codes_{s}"))
+    first_code = F.col("code") == F.array_min(F.array_intersect("codes_a", "codes_b"))
+    full = by_code("a").join(by_code("b"), ["key", "code"]).filter((F.col("a.cls") < F.col("b.cls")) & first & first_code)
+    short = side(split.filter(F.size("codes") == 0), "a").join(side(split, "b"), "key")
+    short = short.filter((F.col("a.cls") < F.col("b.cls")) | (F.size("codes_b") > 0)).filter(F.col("a.cls") != F.col("b.cls")).filter(first)
+    return pairs.select("a", "b").unionByName(full.select("a", "b")).unionByName(short.select("a", "b"))
+
+
+def name_entities(names: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     """``name, entity``: one row per distinct non-null name; names of one entity share it. Names of nobody are left out."""
-    distinct = written(names.select("name").filter(F.col("name").isNotNull()).distinct(), "names")
-    parsed = written(distinct.mapInArrow(_parser(given_names(distinct)), PARSED_DDL).filter("cls is not null"), "parsed-names")
-    classes = parsed.groupBy("cls").agg(*[F.min(c).alias(c) for c in PARTS])  # only the typed forms can differ within a class
-    keyed = parsed.select("cls", F.explode("keys").alias("key")).distinct()
-    left, right = keyed.withColumnRenamed("cls", "a"), keyed.withColumnRenamed("cls", "b")
-    candidates = left.join(right, "key").filter("a < b").select("a", "b").distinct()
-    parts = written(classes, "name-classes")
-    side = lambda s: parts.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in PARTS])
-    links = written(
-        candidates.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linker, "a string, b string, how string, equal boolean, middle boolean"),
-        "name-links",
-    )
+    distinct = names.select("name").filter(F.col("name").isNotNull()).distinct()
+    parsed = written(parsed_names(distinct), "parsed-names")
+    classes = written(name_classes(parsed), "name-classes")
+    links = written(candidates(classes, hot_block).mapInArrow(_linker, LINKS_DDL), "name-links")
     same = links.filter("how = 'same'").select("a", "b")
     persons = connected_components(same)
     # The person that each name with initials only fits, if it is one: by equal surname and middle initial, else by equal surname, else by a like one.

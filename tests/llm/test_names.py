@@ -59,3 +59,45 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"n{i:03d}"] for i in range(101)} == {"n000"} and got["y"] == got["x"] == "x" and got["z"] == "z" and len(got) == 104
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "group",
+    [
+        ["Peter van der Berg", "van der Berg, Peter", "P. van der Berg"],
+        ["Maria Garcia Lopez", "Garcia Lopez, Maria"],
+        ["John Smith", "Jon Smith"],
+        ["Steven Millerson", "Stephen Millerson"],
+        ["Fyodor Dostoevsky", "Dostoyevskii, Fedor"],
+        ["Christopher Johnston", "Christofer Jonhstn"],
+        ["Brenorabent Theological Seminary", "Brernorabent Theological Seminary"],
+    ],
+)
+def test_reordered_words_and_spellings_of_sounds(spark, group):
+    assert entities(spark, group) == {frozenset(group)}
+
+
+def test_names_of_different_people(spark):
+    rows = ["Martin, Luther", "Luther, Martin", "Debåbild, Hubert", "Debibeld, Hubert", "Wilma Gumidilm", "William Gumidilm", "Sturniskeck, Anna", "Stulmukeck, Anna"]
+    assert entities(spark, rows) == {frozenset([r]) for r in rows}
+
+
+def test_no_empty_codes():
+    for name in ("Lee, J", "Hay, John", "Ali, Jane", "Ruhe, Jan", "Io, A"):
+        keys = N.read_name(name)["keys"]
+        assert keys and all(all(part for part in k.split("|")) for k in keys)
+    assert not set(N.read_name("Lee, J")["keys"]) & set(N.read_name("Ali, Jane")["keys"])
+
+
+def test_hot_blocks_give_the_same(spark):
+    given = ["Anna", "Anne", "Albert", "Alexander", "Alexandra", "Abigail", "Andrew", "Andreas", "Anthony", "Arthur"]
+    rows = [f"{g} {s}" for g in given for s in ("Gasmolt", "Gasmelt", "Gasmolt M.")] + ["A. Gasmolt", "Gasmolt, A. M.", "Gasmolt, Albret", "Alec Gasmolt"]
+    df = spark.createDataFrame([(r,) for r in rows], "name string")
+    found = [sorted(map(tuple, N.name_entities(df, hot).collect())) for hot in (0, 3, 10_000)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_words_known_as_given_names_are_a_share(spark):
+    names = [f"Surname{i}, Orlo" for i in range(5)] + [f"Kilm, Given{i}" for i in range(40)] + [f"Other{i}, Kilm" for i in range(5)]
+    ends = spark.createDataFrame([(n, *N.ends_of(n)) for n in names], "name string, comma boolean, first string, last string")
+    assert {r.word for r in N.given_words(ends).collect()} == {"orlo"}
