@@ -33,11 +33,11 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexichron.llm.components import connected_components
-from lexichron.session import written
+from lexichron.session import shuffle_width, written
 
 #: Least Jaro-Winkler similarities of two spellings, by what is between them, and the letters from which two edits may be.
 ONE_EDIT, TWO_EDITS = 0.8, 0.94
@@ -375,10 +375,10 @@ def compare(a: dict, b: dict) -> tuple[str | None, bool, bool]:
     return ("initials" if equal else None), equal, middle
 
 
-ONE = ("kind", "cls", "surname", "given", "double", "initials", "words", "typed", "typed_given")
+ONE = ("kind", "cls", "surname", "sound", "given", "double", "initials", "words", "typed", "typed_given")
 PARSED = pa.schema([("name", pa.string()), *((c, pa.string()) for c in ONE), ("keys", pa.list_(pa.string())), ("codes", pa.list_(pa.string()))])
 PARSED_DDL = "name string, " + ", ".join(f"{c} string" for c in ONE) + ", keys array<string>, codes array<string>"
-PARTS = ("kind", "surname", "given", "double", "initials", "words", "typed", "typed_given", "codes")
+PARTS = ("kind", "surname", "sound", "given", "double", "initials", "words", "typed", "typed_given", "codes")
 LINKS = pa.schema([("a", pa.string()), ("b", pa.string()), ("how", pa.string()), ("equal", pa.bool_()), ("middle", pa.bool_())])
 LINKS_DDL = "a string, b string, how string, equal boolean, middle boolean"
 
@@ -394,6 +394,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, firsts, lasts = (batch.column(k).to_pylist() for k in range(3))
         read = [read_name(n, bool(f), bool(l)) for n, f, l in zip(names, firsts, lasts)]
+        for r in read:
+            r["sound"] = respelled(r["surname"]) if r["kind"] == "person" else ""
         codes = [sorted(given_codes(r)) if r["given"] else [] for r in read]
         columns = [names, *([r[c] for r in read] for c in (*ONE, "keys")), codes]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PARSED.types)], schema=PARSED)
@@ -417,12 +419,13 @@ def parsed_names(names: DataFrame) -> DataFrame:
     of_first, of_last = known.select(F.col("word").alias("first"), F.lit(True).alias("f")), known.select(F.col("word").alias("last"), F.lit(True).alias("l"))
     told = ends.filter("not comma").join(of_first, "first", "left").join(of_last, "last", "left").select("name", "f", "l")
     other = ends.filter("comma").select("name", F.lit(None).cast("boolean").alias("f"), F.lit(None).cast("boolean").alias("l"))
-    return told.unionByName(other).mapInArrow(_parse, PARSED_DDL).filter("cls is not null")
+    together = told.unionByName(other).repartition(shuffle_width(names.sparkSession), "name")
+    return together.mapInArrow(_parse, PARSED_DDL).filter("cls is not null")
 
 
 def name_classes(parsed: DataFrame) -> DataFrame:
     """One row per class; ``typed`` and ``typed_given`` are all ways in which it was typed."""
-    fixed = ("kind", "surname", "given", "double", "initials", "words")
+    fixed = ("kind", "surname", "sound", "given", "double", "initials", "words")
     every = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
     return parsed.groupBy("cls").agg(*[F.first(c).alias(c) for c in fixed], F.collect_set("typed").alias("typed"), F.collect_set("typed_given").alias("typed_given"), every("keys"), every("codes"))
 
@@ -446,23 +449,53 @@ def block_sizes(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def _may_be_near(a: Column, b: Column) -> Column:
+    """Whether ``near`` may hold of two surnames: what its exact checks need, by distances computed in the JVM."""
+    letters = lambda x: F.array_join(F.array_sort(F.split(x, "")), "")
+    # a swap is two edits here, and leaves the same letters
+    typed = lambda x, y: F.when(F.levenshtein(x, y) <= 2, True).otherwise((F.levenshtein(x, y) <= 4) & (F.levenshtein(letters(x), letters(y)) <= 2))
+    return (
+        (F.levenshtein(a["sound"], b["sound"]) <= 1)
+        | (F.levenshtein(a["surname"], b["surname"]) <= 2)
+        | F.exists(a["typed"], lambda x: F.exists(b["typed"], lambda y: typed(x, y)))
+    )
+
+
+def _may_be_linked(a: Column, b: Column) -> Column:
+    """A condition that every pair meets which ``compare`` links: given names must share a code, and surnames be near."""
+    words = (a["words"] != "") & (b["words"] != "")
+    given = (F.size(a["codes"]) == 0) | (F.size(b["codes"]) == 0) | F.arrays_overlap(a["codes"], b["codes"])
+    return (a["kind"] == b["kind"]) & (words | (a["kind"] == "organisation") | given & _may_be_near(a, b))
+
+
 def candidates(classes: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     """``a, b``: pairs of classes of a common block, as structs, each pair once: in the first of the blocks they share."""
-    hot = block_sizes(classes).filter(F.col("n") > hot_block).select("key", F.lit(True).alias("hot"))
-    keyed = classes.select(F.explode("keys").alias("key"), F.struct("cls", *PARTS).alias("c"), "keys", "codes").join(hot, "key", "left")
-    side = lambda df, s: df.select("key", F.col("c").alias(s), F.col("keys").alias(f"keys_{s}"), F.col("codes").alias(f"codes_{s}"))
-    first = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
-    usual = keyed.filter("hot is null")
-    pairs = side(usual, "a").join(side(usual, "b"), "key").filter((F.col("a.cls") < F.col("b.cls")) & first)
+    classes = classes.withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))).withColumn("codes", F.transform("codes", lambda k: F.xxhash64(k)))
+    keyed = classes.select(F.explode("keys").alias("key"), F.struct("cls", *PARTS, "keys").alias("c"))
+    hot = written(block_sizes(classes).filter(F.col("n") > hot_block).select("key", F.lit(True).alias("hot")), "hot-blocks")
+    is_split = not hot.isEmpty()
+    usual = keyed.join(hot, "key", "left_anti") if is_split else keyed
+    a, b = F.col("l.c"), F.col("r.c")
+    once = (F.col("l.key") == F.array_min(F.array_intersect(a["keys"], b["keys"]))) & _may_be_linked(a, b)
+
+    def met(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+        return left.alias("l").join(right.alias("r"), F.col("l.key") == F.col("r.key")).filter(condition & once).select(a.alias("a"), b.alias("b"))
+
+    found = met(usual, usual, a["cls"] < b["cls"])
+    if not is_split:
+        return found
     # Hot blocks: full names by the codes of their given names as well; those with initials only, and organisations, with the whole block.
-    split = keyed.filter("hot")
-    coded = split.filter(F.size("codes") > 0)
-    by_code = lambda s: side(coded, s).withColumn("code", F.explode(f"codes_{s}"))
-    first_code = F.col("code") == F.array_min(F.array_intersect("codes_a", "codes_b"))
-    full = by_code("a").join(by_code("b"), ["key", "code"]).filter((F.col("a.cls") < F.col("b.cls")) & first & first_code)
-    short = side(split.filter(F.size("codes") == 0), "a").join(side(split, "b"), "key")
-    short = short.filter((F.col("a.cls") < F.col("b.cls")) | (F.size("codes_b") > 0)).filter(F.col("a.cls") != F.col("b.cls")).filter(first)
-    return pairs.select("a", "b").unionByName(full.select("a", "b")).unionByName(short.select("a", "b"))
+    split = keyed.join(hot, "key", "left_semi")
+    coded = split.filter(F.size("c.codes") > 0).withColumn("code", F.explode("c.codes"))
+    first_code = F.col("l.code") == F.array_min(F.array_intersect(a["codes"], b["codes"]))
+    by_code = coded.alias("l").join(coded.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.code") == F.col("r.code")))
+    full = by_code.filter((a["cls"] < b["cls"]) & first_code & once).select(a.alias("a"), b.alias("b"))
+    bare = split.filter(F.size("c.codes") == 0)
+    # words in any order may be linked without a common given name
+    any_order = split.filter((F.size("c.codes") > 0) & (F.col("c.words") != ""))
+    others = (a["cls"] < b["cls"]) & (F.size(F.array_intersect(a["codes"], b["codes"])) == 0)
+    short = met(bare, split, (a["cls"] < b["cls"]) | (F.size(b["codes"]) > 0))
+    return found.unionByName(full).unionByName(short).unionByName(met(any_order, any_order, others))
 
 
 def name_entities(names: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
