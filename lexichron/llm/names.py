@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,8 @@ from lexichron.session import shuffle_width, written
 #: Least Jaro-Winkler similarities of two spellings, by what is between them, and the letters from which two edits may be.
 ONE_EDIT, TWO_EDITS = 0.8, 0.94
 LONG = 8
+#: Words whose forms a worker keeps, as names repeat.
+WORDS_KEPT = 50_000
 #: Classes of one block from which it is split.
 HOT_BLOCK = 200
 #: A word is known as a given name if it stands after the comma of so many surnames, and in such a share of the names with a comma that hold it.
@@ -93,6 +96,7 @@ _CODES = str.maketrans(
 )
 
 
+@lru_cache(maxsize=WORDS_KEPT)
 def folded(word: str) -> str:
     """A word in the form in which spellings are compared: no accents, no doubled letters, common misreadings undone."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", word.lower().translate(_SPECIAL)) if c.isalnum())
@@ -100,6 +104,7 @@ def folded(word: str) -> str:
     return _DOUBLE.sub(r"\1", plain).replace("rn", "m")
 
 
+@lru_cache(maxsize=WORDS_KEPT)
 def spelled(word: str) -> str:
     """A word without accents and punctuation, in lower case, its letters otherwise as typed."""
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower().translate(_SPECIAL)) if c.isalnum())
@@ -109,6 +114,7 @@ def spelled(word: str) -> str:
 _RESPELLED = [(re.compile(x), y) for x, y in (("ph", "f"), ("sch|sh", "s"), ("(?<=.)h", ""), ("ck|c|q", "k"), ("(?<=[^aeiou])yo", "e"), ("[yj]", "i"), ("[vw]", "f"), ("z", "s"), ("x", "ks"), ("dt", "t"), (r"i+(?=[aeou])(?<=.)(?<!^i)", ""))]
 
 
+@lru_cache(maxsize=WORDS_KEPT)
 def respelled(word: str) -> str:
     """A folded word in one spelling of its sounds: ph as f, c and q as k, y and j as i, v and w as f, z as s, no h but a first one."""
     for pattern, by in _RESPELLED:
