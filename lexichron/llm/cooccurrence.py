@@ -25,9 +25,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexichron.operators.numbering import numbered
 from lexichron.session import written
 
 #: Records of one block, and the share of a group's records from which an item is heavy.
@@ -130,9 +130,8 @@ def block_pairs(group: str, records: np.ndarray, items: np.ndarray, heavy: int)
 
 
 def _count_block(key: tuple, block: pa.Table) -> pa.Table:
-    return block_pairs(
-        key[0].as_py(), block["record"].to_numpy(), block["item"].to_numpy(), int(block["heavy"][0].as_py())
-    )
+    records = block["record"].combine_chunks().dictionary_encode().indices  # records may be keys of any kind
+    return block_pairs(key[0].as_py(), records.to_numpy(), block["item"].to_numpy(), int(block["heavy"][0].as_py()))
 
 
 def cooccurring(
@@ -155,22 +154,19 @@ def cooccurring(
     sizes = sizes.withColumn("blocks", F.ceil(F.col("records") / block_records)).withColumn(
         "least", F.greatest(F.lit(min_count), F.ceil(F.col("records") * min_share - 1e-9)).cast("bigint")
     )
-    in_order = W.partitionBy("grp").orderBy(F.desc("n"), "item")
-    items = written(
-        rows.groupBy("grp", "item")
-        .agg(F.count("*").alias("n"))
-        .join(sizes, "grp")
-        .filter("n >= least")
-        .withColumn("idx", (F.row_number().over(in_order) - 1).cast("int"))
-        .withColumn("heavy", F.sum((F.col("n") >= F.col("records") * heavy_share).cast("int")).over(W.partitionBy("grp")).cast("int")),
-        "items",
+    supported = rows.groupBy("grp", "item").agg(F.count("*").alias("n")).join(sizes, "grp").filter("n >= least")
+    # numbered over all groups in order, so no group's items meet in one task
+    placed = numbered(supported.withColumn("fewer", -F.col("n")), ["grp", "fewer", "item"], "place")
+    begins = placed.groupBy("grp").agg(
+        F.min("place").alias("begin"), F.count_if(F.col("n") >= F.col("records") * heavy_share).cast("int").alias("heavy")
     )
+    items = written(placed.join(begins, "grp").withColumn("idx", (F.col("place") - F.col("begin")).cast("int")), "items")
     few = items.count() <= BROADCAST_ITEMS
     hint = F.broadcast if few else (lambda df: df)
     encoded = rows.join(hint(items.select("grp", "item", "idx", "heavy", "blocks")), ["grp", "item"]).select(
         "grp",
         F.expr("cast(pmod(xxhash64(record), blocks) as int)").alias("block"),
-        F.col("record").cast("bigint").alias("record"),
+        "record",
         F.col("idx").alias("item"),
         "heavy",
     )

@@ -114,10 +114,12 @@ def pack(items: DataFrame, n_items: int, group_items: int = GROUP_ITEMS, seed: i
     ``n_items`` is the number of items of one limit; containers are numbered within their limit.
     """
     groups = max(1, -(-n_items // group_items))
+    # items without an id are dealt out by their place
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id())
     dealt = items.select(
         F.col("limit_id").cast("int").alias("limit_id"),
         F.col("capacity").cast("int").alias("capacity"),
-        F.expr(f"cast(pmod(xxhash64(doc_id, {seed}), {groups}) as int)").alias("grp"),
+        F.pmod(F.xxhash64(own, F.lit(seed)), F.lit(groups)).cast("int").alias("grp"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0).cast("bigint")).alias("n_tokens"),
     )

@@ -7,8 +7,10 @@ one row per container, its prefix and sorted suffixes with their counters.
 
 A router then cuts the tries alike for all workers.  Prefixes under which all
 workers together hold more than a fair share of entries are opened, and a term
-is routed by its shortest prefix that isn't opened.  There are at most
-shares x DEPTH opened prefixes, whatever the data, so the router is small.  The
+is routed by its shortest prefix that isn't opened.  Prefixes are looked at
+``DEPTH`` characters at a time, deeper only below those that are still too heavy,
+so terms that share a long beginning are parted too; at most ``shares`` prefixes
+of each length are opened, whatever the data, so the router is small.  The
 subtrees of the same route meet in one task and are merged.  A term's rows are
 combined in each worker before anything moves, so a term that holds a third of
 all rows costs one entry per worker.
@@ -33,7 +35,7 @@ BURST = 512
 TRIE_TERMS = 400_000
 #: Rows combined at once before they are inserted.
 COMBINE_ROWS = 200_000
-#: Longest prefix, in characters, that the router looks at.
+#: Characters of prefixes that the router looks at in one pass.
 DEPTH = 24
 
 SUBTRIE = pa.schema(
@@ -164,19 +166,23 @@ def _count_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from _emitted(trie)
 
 
-def opened_prefixes(subtries: DataFrame, shares: int) -> list[str]:
-    """The prefixes that hold more than a fair share of all workers' entries, at most ``shares * DEPTH``."""
-    weights = (
-        subtries.select("prefix", F.size("suffixes").alias("w"))
-        .groupBy("prefix")
-        .agg(F.sum("w").alias("w"))
-        .select(F.expr(f"explode(transform(sequence(0, least(length(prefix), {DEPTH})), i -> substring(prefix, 1, i)))").alias("p"), "w")
-        .groupBy("p")
-        .agg(F.sum("w").alias("w"))
-    )
+def opened_prefixes(subtries: DataFrame, shares: int, least: int = 20_000, depth: int = DEPTH) -> list[str]:
+    """The prefixes that hold more than a fair share of all workers' entries: at most ``shares`` of each length."""
+    weights = subtries.select("prefix", F.size("suffixes").alias("w")).groupBy("prefix").agg(F.sum("w").alias("w"))
     total = subtries.agg(F.coalesce(F.sum(F.size("suffixes")), F.lit(0))).first()[0]
-    fair = max(total // shares, 20_000)
-    return [r[0] for r in weights.filter(F.col("w") > fair).select("p").collect()]
+    fair = max(total // shares, least)
+    opened: list[str] = []
+    shortest, below = 0, weights
+    while True:
+        longest = shortest + depth - 1
+        each = F.expr(f"explode(transform(sequence({shortest}, least(length(prefix), {longest})), i -> substring(prefix, 1, i)))").alias("p")
+        heavy = below.filter(F.length("prefix") >= shortest).select(each, "w").groupBy("p").agg(F.sum("w").alias("w")).filter(F.col("w") > fair)
+        found = [r[0] for r in heavy.select("p").collect()]
+        opened += found
+        deepest = [p for p in found if len(p) == longest]
+        if not deepest:
+            return opened
+        below, shortest = below.filter(F.substring("prefix", 1, longest).isin(deepest)), longest + 1
 
 
 def _routed(opened: frozenset[str]):

@@ -13,9 +13,9 @@ are ignored.
 Partitioning: one shuffle by ``id_kase`` serves both the choice of the latest
 row and the sum per term, and what follows by record.  Records with more rows
 than ``hot_rows`` would make a huge partition; they are found beforehand by a
-count over that one column (there can be at most rows / hot_rows of them, so the
-list has a bound) and go another way, grouped by all keys with a combine on the
-map side.
+count over that one column and go another way, grouped by all keys with a combine
+on the map side.  Where more than ``hot_most`` records are hot, all rows go that
+way, so the list of hot records has a bound and no record a partition to itself.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Rows of one record from which it is treated as hot, and the most hot records there can be.
+#: Rows of one record from which it is treated as hot, and the most hot records that are listed.
 HOT_ROWS = 200_000
 HOT_MOST = 2_000
 
@@ -70,19 +70,19 @@ def _latest_then_summed(rows: DataFrame) -> DataFrame:
     )
 
 
-def counted_terms(dictionary: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def counted_terms(dictionary: DataFrame, hot_rows: int = HOT_ROWS, hot_most: int = HOT_MOST) -> DataFrame:
     """``id_kase, term, n``: one row per record and term, partitioned by ``id_kase`` but for hot records."""
     rows = dictionary.select("id_kase", "ngram", "lemmata", "count", "loaded_at").filter(F.col("id_kase").isNotNull())
-    per_record = rows.groupBy("id_kase").count()
-    total = per_record.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    least = max(hot_rows, total // HOT_MOST)
-    hot = [r[0] for r in per_record.filter(F.col("count") > least).select("id_kase").collect()]  # at most HOT_MOST
+    crowded = rows.groupBy("id_kase").count().filter(F.col("count") > hot_rows)
+    hot = [r[0] for r in crowded.select("id_kase").limit(hot_most + 1).collect()]
 
     def with_term(part: DataFrame) -> DataFrame:
         return part.select("id_kase", "ngram", written_form("lemmata").alias("term"), "count", "loaded_at")
 
     if not hot:
         return _latest_then_summed(with_term(rows).repartition("id_kase"))
+    if len(hot) > hot_most:
+        return _latest_then_summed(with_term(rows))
     is_hot = F.col("id_kase").isin(hot)
     usual = _latest_then_summed(with_term(rows.filter(~is_hot)).repartition("id_kase"))
     return usual.unionByName(_latest_then_summed(with_term(rows.filter(is_hot))))

@@ -59,9 +59,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most characteristic term of each record, by TF-IDF, among terms held by at least two records."""
-    scored = distinctiveness(_counted(spark, sf_dir), min_records=2, elite=False)
-    return most_distinctive(scored)
+    """The most characteristic term of each record among terms held by at least two records, in the order that is asked for."""
+    return most_distinctive(p6_scores(spark, sf_dir))
 
 
 def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,10 +140,13 @@ def in_share(limit: Column, *columns: str) -> Column:
     return F.xxhash64(*columns, F.lit(11)).bitwiseAND(F.lit(2**63 - 1)) <= limit
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores: small files else leave cores idle."""
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: small files else leave cores idle.
+
+    Rows are dealt out in turn, not by a key, as one key (or null) may be that of many rows.
+    """
     wanted = cores(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def encode(documents: DataFrame, name: str = "byte_bpe_50k", offsets: bool = False, folder: str = FOLDER) -> DataFrame:

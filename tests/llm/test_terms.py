@@ -42,9 +42,9 @@ ODD = [
 WANT = {(1, "law", 5), (2, "fine", 1), (2, "étude", 2), (3, "νόμος", 7), (3, "x" * 50_000, 1)}
 
 
-@pytest.mark.parametrize("hot_rows", [terms.HOT_ROWS, 1])
-def test_counted_terms(spark, hot_rows):
-    got = terms.counted_terms(dictionary(spark, ODD), hot_rows=hot_rows)
+@pytest.mark.parametrize(("hot_rows", "hot_most"), [(terms.HOT_ROWS, terms.HOT_MOST), (1, 10), (0, 1)])
+def test_counted_terms(spark, hot_rows, hot_most):
+    got = terms.counted_terms(dictionary(spark, ODD), hot_rows, hot_most)
     assert {tuple(r) for r in got.collect()} == WANT
     assert terms.counted_terms(dictionary(spark, [])).count() == 0
 
@@ -131,10 +131,47 @@ def test_two_poisson_recovers_rates():
     n = 20_000
     draws = np.where(rng.random(n) < 0.2, rng.poisson(9.0, n), rng.poisson(0.5, n))
     x, c = np.unique(draws[draws > 0], return_counts=True)
-    share, elite, other = D.fit_two_poisson(np.array([0]), x, c, n, rounds=400)
+    share, elite, other = D.fit_two_poisson(np.array([0]), x, c, n)
     assert share[0] == pytest.approx(0.2, abs=0.02) and elite[0] == pytest.approx(9.0, abs=0.3) and other[0] == pytest.approx(0.5, abs=0.05)
 
 
+def plain_em(histogram, total, rounds):
+    """Expectation-maximisation written out for one term, from another start."""
+    x, w = np.array([0, *histogram], float), np.array([total - sum(histogram.values()), *histogram.values()], float)
+    share, elite, other = 0.05, 3.0, 0.01
+    for _ in range(rounds):
+        a, b = share * np.exp(-elite) * elite**x, (1 - share) * np.exp(-other) * other**x
+        post = a / (a + b)
+        share = (w * post).sum() / total
+        elite, other = (w * x * post).sum() / (w * post).sum(), (w * x * (1 - post)).sum() / (w * (1 - post)).sum()
+    return share, elite, other
+
+
+HISTOGRAMS = [{1: 300, 2: 101, 5: 1}, {1: 30, 2: 11, 5: 1}, {1: 40, 3: 2}, {1: 5, 2: 5, 3: 5, 20: 5}]
+
+
+@pytest.mark.parametrize("histogram", HISTOGRAMS)
+def test_two_poisson_goes_on_until_it_stands_still(histogram):
+    x, c = np.array(list(histogram)), np.array(list(histogram.values()))
+    got = [v[0] for v in D.fit_two_poisson(np.array([0]), x, c, 100_000)]
+    assert got == pytest.approx(plain_em(histogram, 100_000, 60_000), rel=1e-4)
+
+
+def test_two_poisson_terms_do_not_touch_each_other():
+    alone = [[v[0] for v in D.fit_two_poisson(np.array([0]), np.array(list(h)), np.array(list(h.values())), 5000)] for h in HISTOGRAMS]
+    sizes = np.array([len(h) for h in HISTOGRAMS])
+    x, c = (np.concatenate([list(f(h)) for h in HISTOGRAMS]) for f in (dict.keys, dict.values))
+    together = np.array(D.fit_two_poisson(np.cumsum(sizes) - sizes, x, c, 5000)).T
+    assert together.tolist() == alone
+
+
+def test_counts_of_one_poisson_have_no_elite():
+    share, elite, other = D.fit_two_poisson(np.array([0, 1]), np.array([1, 3]), np.array([40, 10]), 1000)
+    assert share[0] == 0 and elite[0] == other[0] == pytest.approx(0.04) and share[1] > 0
+    share, elite, other = D.fit_two_poisson(np.array([0]), np.array([2]), np.array([10]), 10)
+    assert share[0] == 0 and elite[0] == other[0] == 2
+
+
 def test_distinctiveness(spark):
     rows = [(1, "a", 3), (1, "b", 3), (2, "a", 1), (2, "b", 1), (3, "a", 9), (3, "only", 50)]
     df = spark.createDataFrame(rows, "id_kase bigint, term string, n bigint")
@@ -142,11 +179,34 @@ def test_distinctiveness(spark):
     assert set(got) == {(i, t) for i, t, _ in rows if t != "only"}
     assert got[1, "b"].score == pytest.approx(3 * (math.log(4 / 3) + 1)) and got[1, "b"].d == 2
     assert all(0 <= r.elite <= 1 for r in got.values()) and got[3, "a"].elite >= got[2, "a"].elite
-    best = {r.id_kase: r.term for r in D.most_distinctive(D.distinctiveness(df, 2, elite=False)).collect()}
+    best = {r.id_kase: r.term for r in D.most_distinctive(D.distinctiveness(df, 2)).collect()}
     assert best == {1: "b", 2: "b", 3: "a"}
     assert D.distinctiveness(df.limit(0)).count() == 0
 
 
+def test_distinctiveness_does_not_depend_on_the_partitions(spark):
+    random.seed(3)
+    rows = [(r, f"t{int(random.expovariate(0.1))}", 1 + int(random.expovariate(0.7))) for r in range(300) for _ in range(5)]
+    rows = list({(r, t): (r, t, n) for r, t, n in rows}.values())
+    df = spark.createDataFrame(rows, "id_kase bigint, term string, n bigint")
+    found = [sorted(map(tuple, D.distinctiveness(df.repartition(k), 2).collect())) for k in (2, 20)]
+    assert found[0] == found[1] and any(0 < r[-1] < 1 for r in found[0])
+
+
 def test_ties_take_the_smallest_term(spark):
     df = spark.createDataFrame([(1, "b", 1), (1, "a", 1), (2, "b", 1), (2, "a", 1)], "id_kase bigint, term string, n bigint")
-    assert {r.term for r in D.most_distinctive(D.distinctiveness(df, 2, elite=False)).collect()} == {"a"}
+    assert {r.term for r in D.most_distinctive(D.distinctiveness(df, 2)).collect()} == {"a"}
+
+
+def test_records_of_any_kind(spark):
+    rows = [("g", f"record {r}", i) for r in range(20) for i in ("a", "b", f"c{r}")]
+    got = C.cooccurring(spark.createDataFrame(rows, "grp string, record string, item string"), 5).collect()
+    assert [(r.item_a, r.item_b, r.n_both) for r in got] == [("a", "b", 20)]
+
+
+def test_router_opens_long_beginnings(spark):
+    url = "https://example.org/a/very/long/path/that/all/share/"
+    rows = [(url + f"{i:05d}", [""], [1], [1]) for i in range(1000)] + [("q", [""], [1], [1])]
+    df = spark.createDataFrame(rows, TC.SUBTRIE_DDL)
+    opened = set(TC.opened_prefixes(df, shares=8, least=10, depth=5))
+    assert {url[:k] for k in range(len(url) + 1)} <= opened and url + "00" in opened and "q" not in opened
