@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Characters deleted from words, which leaves the straight apostrophe.
-PUNCTUATION = r"""[,.;:!?@#$~^&*{}°"’\[\]()_\-0-9+]+"""
+PUNCTUATION = r"""[,.;:!?@#$~^&*{}°"’\[\]()_\-\p{Nd}+]+"""
 
 # Words replaced by others, in the order given.
 WORDS = {
@@ -67,6 +67,8 @@ COLLOCATIONS = {
     "New York": "New_York",
 }
 
+#: White space as Unicode has it, alike in Spark and DuckDB.
+SPACES = r"[\t-\r \x{85}\p{Z}]+"
 #: Words of two or more letters, digits or underscores, alike in Spark and DuckDB.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -76,8 +78,8 @@ def _col(x: Column | str) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """The words of a text between white space."""
-    return F.filter(F.split(_col(text), r"\s+"), lambda w: w != "")
+    """The words of a text between white space of any script."""
+    return F.filter(F.split(_col(text), SPACES), lambda w: w != "")
 
 
 def tokens(text: Column | str) -> Column:
@@ -138,7 +140,7 @@ def ascii_only(text: Column | str) -> Column:
 def strip_digits(text: Column | str) -> Column:
     """Digits deleted, but only where one follows something else, so pure numbers and words after digits stay."""
     text = _col(text)
-    return F.when(text.rlike(r"[^0-9][0-9]"), F.regexp_replace(text, r"[0-9]+", "")).otherwise(text)
+    return F.when(text.rlike(r"\P{Nd}\p{Nd}"), F.regexp_replace(text, r"\p{Nd}+", "")).otherwise(text)
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -165,13 +167,33 @@ def merged_collocations(text: Column | str, collocations: dict[str, str] = COLLO
     return F.array_join(F.aggregate(pairs, words(text), merge), " ")
 
 
+def million(number: Column | str) -> Column:
+    """``20M``: a number in millions."""
+    return F.concat(F.format_number(_col(number) / 1e6, 0), F.lit("M"))
+
+
+def decimals(number: Column | str, digits: int = 6) -> Column:
+    """A number with so many decimals and no thousands separators."""
+    return F.format_string(f"%.{digits}f", _col(number).cast("double"))
+
+
 def clean_ngram_string(text: Column | str) -> Column:
     """Digits stripped, words replaced, collocations merged."""
     return merged_collocations(replaced_words(strip_digits(text)))
 
 
-def sorted_words(text: Column | str) -> Column:
-    return F.array_join(F.sort_array(words(text)), " ")
+def sorted_words(text: Column | str, stopwords: list[str] | None = None) -> Column:
+    """The words in order; with ``stopwords`` (possibly none) punctuation and digits are deleted first, and those words dropped."""
+    found = words(text)
+    if stopwords is not None:
+        found = F.transform(found, lambda w: F.regexp_replace(w, PUNCTUATION, ""))
+        found = F.filter(found, lambda w: (w != "") & ~w.isin(stopwords) if stopwords else w != "")
+    return F.array_join(F.sort_array(found), " ")
+
+
+def replaced_whole(text: Column | str, replacements: dict[str, str] = COLLOCATIONS) -> Column:
+    """The text replaced where the map has it as a whole."""
+    return F.coalesce(_map(replacements)[_col(text)], _col(text))
 
 
 # Fixed values of the published Porter algorithm: endings by step and what they become.
@@ -233,6 +255,16 @@ def porter(word: str | None) -> str | None:
     return w
 
 
+def stem_text(text: str | None) -> str | None:
+    """The Porter stems of the words of a text, in lower case."""
+    return None if text is None else " ".join(porter(w) or "" for w in text.lower().split())
+
+
+@F.pandas_udf(StringType())
+def text_stems(values: pd.Series) -> pd.Series:
+    return values.map({w: stem_text(w) for w in values.dropna().unique()})
+
+
 @F.pandas_udf(StringType())
 def porter_stem(values: pd.Series) -> pd.Series:
     """Porter stems; each distinct word of a batch is stemmed once."""

@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexichron.operators.numbering import numbered
+from lexichron.session import written
+
+#: Rows of one block of a running sum.
+BLOCK_ROWS = 100_000
+
 
 def merge(rows: DataFrame, key: str = "ngram", by: list[str] | None = None) -> DataFrame:
     """Counts summed over documents, within ``by``."""
@@ -103,9 +109,29 @@ def sample_ids(ids: DataFrame, k: int, seed: int, id_column: str = "id_kase") ->
 
 
 def sample_lines(lines: DataFrame, k: int, seed: int) -> DataFrame:
-    """``k`` rows drawn with replacement, as a Poisson draw: the size varies around ``k``."""
-    n = lines.count()
-    return lines.sample(withReplacement=True, fraction=min(k / n, 1e6), seed=seed) if n else lines
+    """``line``: exactly ``k`` lines drawn with replacement, a line of weight ``w`` as if it stood there ``w`` times; blank ones are never drawn.
+
+    A place in the run of all repetitions is drawn; the line it falls in is found by a sort of lines and draws together.
+    """
+    weighted = lines if "w" in lines.columns else lines.withColumn("w", F.lit(1))
+    usable = weighted.filter((F.trim("line") != "") & (F.col("w") > 0)).groupBy("line").agg(F.sum("w").cast("bigint").alias("w"))
+    placed = numbered(usable, ["line"], "_row")
+    # ends of the lines' runs: sums within blocks of rows, after the sums of the blocks before
+    blocks = placed.withColumn("_block", F.floor(F.col("_row") / BLOCK_ROWS))
+    sums = blocks.groupBy("_block").agg(F.sum("w").alias("_w"))
+    before = F.coalesce(F.sum("_w").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a block
+    within = F.sum("w").over(W.partitionBy("_block").orderBy("_row"))
+    ends = written(blocks.join(F.broadcast(sums.select("_block", before.alias("_before"))), "_block").select("line", "w", (F.col("_before") + within).alias("end")), "line-ends")
+    total = ends.agg(F.max("end")).first()[0]
+    if not total:
+        return lines.select("line").limit(0)
+    drawn = lines.sparkSession.range(k).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("at"))
+    counted = drawn.groupBy("at").agg(F.count("*").alias("times"))
+    width = max(1, total // BLOCK_ROWS)  # a draw meets only lines whose run touches its stretch of places
+    stretches = ends.select("line", (F.col("end") - F.col("w")).alias("begin"), "end")
+    stretches = stretches.withColumn("cell", F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("end") - 1) / width))))
+    met = counted.withColumn("cell", F.floor(F.col("at") / width)).join(stretches, "cell").filter("at >= begin and at < end")
+    return met.select(F.explode(F.array_repeat("line", F.col("times").cast("int"))).alias("line"))
 
 
 def two_rounds(rows: DataFrame, sample: DataFrame, least: int, key: str = "ngram") -> DataFrame:

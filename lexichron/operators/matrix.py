@@ -39,13 +39,38 @@ def tfidf(lines: DataFrame, normalise: bool = True) -> DataFrame:
 
 
 def cooccurrence(valued: DataFrame) -> DataFrame:
-    """``period, row, col, value``: sum over lines of w * x_row * x_col, both triangles and the diagonal."""
-    per = valued.groupBy("period", "line", "w").agg(F.collect_list(F.struct("term", "value")).alias("terms"))
+    """``period, row, col, value``: sum over lines of w * x_row * x_col, both triangles and the diagonal.
+
+    Only one triangle is made and shuffled; the other is its mirror.
+    """
+    per = valued.groupBy("period", "line", "w").agg(F.array_sort(F.collect_list(F.struct("term", "value"))).alias("terms"))
     pairs = F.flatten(
-        F.transform("terms", lambda a: F.transform("terms", lambda b: F.struct(a["term"].alias("row"), b["term"].alias("col"), (a["value"] * b["value"]).alias("x"))))
+        F.transform("terms", lambda a, i: F.transform(F.slice("terms", i + 1, F.size("terms")), lambda b: F.struct(a["term"].alias("row"), b["term"].alias("col"), (a["value"] * b["value"]).alias("x"))))
     )
     each = per.select("period", "w", F.explode(pairs).alias("p"))
-    return each.groupBy("period", F.col("p.row").alias("row"), F.col("p.col").alias("col")).agg(F.sum(F.col("w") * F.col("p.x")).alias("value"))
+    half = each.groupBy("period", F.col("p.row").alias("row"), F.col("p.col").alias("col")).agg(F.sum(F.col("w") * F.col("p.x")).alias("value"))
+    both = F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col")))
+    cells = F.explode(F.when(F.col("row") == F.col("col"), F.slice(both, 1, 1)).otherwise(both)).alias("c")
+    return half.select("period", cells, "value").select("period", "c.row", "c.col", "value")
+
+
+def transposed(matrix: DataFrame) -> DataFrame:
+    return matrix.select("period", F.col("col").alias("row"), F.col("row").alias("col"), "value")
+
+
+def filled(matrix: DataFrame, terms: list[str], value: str = "value") -> DataFrame:
+    """``period, row, col, value`` of all pairs of the chosen terms, 0 where there is none. The terms are a parameter."""
+    listed = matrix.sparkSession.createDataFrame([(t,) for t in terms], "row string")
+    periods = matrix.select("period").distinct()
+    scaffold = periods.crossJoin(F.broadcast(listed)).crossJoin(F.broadcast(listed.withColumnRenamed("row", "col")))
+    held = matrix.filter(F.col("row").isin(terms) & F.col("col").isin(terms)).select("period", "row", "col", value)
+    return scaffold.join(held, ["period", "row", "col"], "left").select("period", "row", "col", F.coalesce(value, F.lit(0.0)).alias("value"))
+
+
+def dense(rows: DataFrame, document: str, terms: list[str], key: str = "term", value: str = "n") -> DataFrame:
+    """One row per document and a column for each of the chosen terms; 0 where it is absent."""
+    held = rows.withColumn(key, F.when(F.col(key).isin(terms), F.col(key)))
+    return held.groupBy(document).pivot(key, terms).agg(F.sum(value)).fillna(0, subset=terms)
 
 
 def pmi_k(matrix: DataFrame, k: int = 2) -> DataFrame:

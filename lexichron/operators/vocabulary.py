@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexichron.operators.numbering import numbered
 
-def dictionary(rows: DataFrame, least: int = 1, key: str = "token") -> DataFrame:
-    """``token, token_id, df``: tokens with a total of ``least`` or more, numbered from 0 in order of the token.
 
-    Numbering is global and dense without a single-task window: tokens are sorted
-    into ranges, and each range starts after the sizes of those before it.
-    """
+def dictionary(rows: DataFrame, least: int = 1, key: str = "token") -> DataFrame:
+    """``token, token_id, df``: tokens with a total of ``least`` or more, numbered from 0 in order of the token."""
     kept = rows.groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("df")).filter(F.col("n") >= least)
-    ordered = kept.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    schema = "token string, token_id bigint, df bigint"
-    numbered = ordered.select(key, "df").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1], x[0][1]))
-    return rows.sparkSession.createDataFrame(numbered, schema)
+    return numbered(kept.select(F.col(key).alias("token"), "df"), ["token"], "token_id").select("token", "token_id", "df")
+
+
+def tokens_of(dictionary_: DataFrame, ids: DataFrame) -> DataFrame:
+    """``token_id, token`` of the listed ids: the dictionary the other way round; ids that it lacks are left out."""
+    return ids.select("token_id").distinct().join(dictionary_.select("token_id", "token"), "token_id")
 
 
 def bag_of_words(rows: DataFrame, dictionary_: DataFrame, key: str = "token", doc: str = "doc_id") -> DataFrame:

@@ -47,8 +47,8 @@ articles0 AS (
 )"""
 BAG = """
 bag AS (
-  SELECT id_kase, ngram, r.l AS lemmata, r.c AS n FROM (
-    SELECT id_kase, ngram, max({'t': loaded_at, 'l': lemmata, 'c': count}) AS r
+  SELECT id_kase, ngram, l.l AS lemmata, r.c AS n FROM (
+    SELECT id_kase, ngram, max({'t': loaded_at, 'l': lemmata}) AS l, max({'t': loaded_at, 'c': count}) AS r
     FROM unigrams_lemmata_dict WHERE id_kase IS NOT NULL AND ngram IS NOT NULL GROUP BY 1, 2) WHERE r.c > 0
 )"""
 TOKENS = r"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexichron.functions.periods import halfdecade_of, midpoint_of, period_of, period_table
 from lexichron.functions.predicate import predicate
 from lexichron.operators import metadata as M
+from lexichron.operators.numbering import numbered
 from lexichron.plans.common import ARTICLES, articles, rounded
 from lexichron.session import table
 
@@ -22,6 +23,7 @@ QUERIES = {
     "decade_means": lambda s, d: M.means(articles(s, d), "dec", ["wordCount", "pageCount"]).select(
         "dec", rounded("mean_wordCount").alias("mean_wordCount"), rounded("mean_pageCount").alias("mean_pageCount")
     ),
+    "decade_means_numeric": lambda s, d: _mean_numeric(s, d),
     "decade_histogram": lambda s, d: M.histogram(articles(s, d), "y", EDGES),
     "global_metadata_totals": lambda s, d: M.totals(articles(s, d), "wordCount").withColumn("mean", rounded("mean")),
     "english_only_count": lambda s, d: articles(s, d)
@@ -50,15 +52,21 @@ QUERIES = {
 }
 
 
+def _mean_numeric(s, d):
+    """The mean of every numeric column of the articles, by decade."""
+    found = articles(s, d)
+    numeric = [c for c, kind in found.dtypes if kind in ("int", "bigint", "double") and c not in ("id_kase", "dec")]
+    means = M.means(found, "dec", numeric)
+    return means.select("dec", *[rounded(f"mean_{c}").alias(f"mean_{c}") for c in numeric])
+
+
 def _drop_last(counts):
     last = counts.agg(F.max("dec").alias("last"))
     return counts.join(F.broadcast(last), F.col("dec") < F.col("last")).select("dec", "n")
 
 
 def _dense(found):
-    """Row numbers 0..n-1 by key: ranges sorted in parallel, each begun after the sizes of those before it."""
-    rows = found.select("id_kase").repartitionByRange("id_kase").sortWithinPartitions("id_kase").rdd.zipWithIndex()
-    return found.sparkSession.createDataFrame(rows.map(lambda x: (x[1], x[0][0])), "row_id bigint, id_kase bigint")
+    return numbered(found.select("id_kase"), ["id_kase"]).select("row_id", "id_kase")
 
 
 def _sql(body: str) -> str:
@@ -85,6 +93,11 @@ SQL = {
         """SELECT dec, round(avg(wordCount), 6) AS "mean_wordCount", round(avg(pageCount), 6) AS "mean_pageCount" FROM articles
         WHERE dec IS NOT NULL GROUP BY 1"""
     ),
+    "decade_means_numeric": _sql(
+        "SELECT dec, "
+        + ", ".join(f'round(avg({c}), 6) AS "mean_{c}"' for c in ("publicationYear", "pageCount", "wordCount", "year", "decade", "y"))
+        + " FROM articles WHERE dec IS NOT NULL GROUP BY 1"
+    ),
     "decade_histogram": _sql(
         """SELECT least((floor(y / 10.0) * 10)::INTEGER, 2010) AS bin_start, count(*) AS n FROM articles WHERE y BETWEEN 1900 AND 2020 GROUP BY 1"""
     ),

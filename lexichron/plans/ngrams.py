@@ -18,8 +18,6 @@ WORDS = ["letter", "Letter", "history", "covenant", "nowhere"]
 STOPS = "the of and to in a is was that for it with as by on not his be at from are this have an had or were which".split()
 LATIN_STOPS = "et in est ad ut non cum de ex quae the and".split()
 LEAST = 20
-#: N-grams that the SQL of freq_by_bidecade and mean_freq_ranking takes; the queries with ``_whole`` take all.
-MOST = 50
 
 
 def _fifties(s, d):
@@ -52,19 +50,18 @@ def _pct_decade(s, d):
     return B.percentages(rows, totals, "dec", WORDS).withColumn("pct", rounded("pct"))
 
 
-def _shares(s, d, whole):
-    """``period, ngram, f``: relative frequencies of the n-grams, all of them or those that the SQL has."""
+def _shares(s, d):
+    """``period, ngram, f``: relative frequencies of all n-grams."""
     rows, totals = _series(s, d)
-    kept = rows if whole else rows.join(F.broadcast(B.top(B.merge(rows), MOST).select("ngram")), "ngram")
-    return kept.join(F.broadcast(totals), "period").select("period", "ngram", F.try_divide(F.col("n").cast("double"), F.col("total")).alias("f"))
+    return rows.join(F.broadcast(totals), "period").select("period", "ngram", F.try_divide(F.col("n").cast("double"), F.col("total")).alias("f"))
 
 
-def _freq_bidecade(s, d, whole=False):
-    return _shares(s, d, whole).select("period", "ngram", rounded("f", 9).alias("freq"))
+def _freq_bidecade(s, d):
+    return _shares(s, d).select("period", "ngram", rounded("f", 9).alias("freq"))
 
 
-def _mean_freq(s, d, whole=False):
-    return _shares(s, d, whole).groupBy("ngram").agg(rounded(F.sum("f") / len(PERIODS), 9).alias("mean_freq"))
+def _mean_freq(s, d):
+    return _shares(s, d).groupBy("ngram").agg(rounded(F.sum("f") / len(PERIODS), 9).alias("mean_freq"))
 
 
 def _zero_filled(s, d):
@@ -141,8 +138,6 @@ QUERIES = {
     "pct_frequency_by_decade": _pct_decade,
     "freq_by_bidecade": _freq_bidecade,
     "mean_freq_ranking": _mean_freq,
-    "freq_by_bidecade_whole": lambda s, d: _freq_bidecade(s, d, whole=True),
-    "mean_freq_ranking_whole": lambda s, d: _mean_freq(s, d, whole=True),
     "term_series_zero_filled": _zero_filled,
     "vocab_period_pivot": lambda s, d: B.pivoted(_series(s, d)[0], PERIODS),
     "two_round_keys": _two_rounds,
@@ -162,7 +157,7 @@ QUERIES = {
     "bow_min_two": lambda s, d: _bow(s, d, 2),
     "semi_join_docs": lambda s, d: documents(s, d).join(articles(s, d).filter("y >= 1950"), "id_kase", "left_semi").select("doc_id"),
     "anti_join_docs": lambda s, d: documents(s, d).join(articles(s, d), "id_kase", "left_anti").select("doc_id"),
-    "point_lookup": lambda s, d: B.merge(bag(s, d)).agg(F.coalesce(F.max(F.when(F.col("ngram") == "covenant", F.col("n"))), F.lit(0)).alias("n")),
+    "point_lookup": lambda s, d: B.merge(bag(s, d).filter(F.col("ngram") == "covenant")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")),
     "capitalised_keys": lambda s, d: B.merge(bag(s, d).filter(F.col("ngram").rlike(r"^\p{Lu}"))),
     "prefix_keys": lambda s, d: B.merge(bag(s, d).filter(F.col("ngram").rlike("^pre"))),
     "weighted_line_export": lambda s, d: _fifties(s, d).groupBy("ngram").agg(F.sum("n").alias("w")).select(F.col("ngram").alias("line"), "w", (F.col("w") * F.length("ngram")).alias("chars")),
@@ -180,8 +175,7 @@ _LOW = "regexp_replace(lower(ngram), 'σ$', 'ς')"
 _MERGED = "merged AS (SELECT ngram, sum(n)::BIGINT AS n FROM bag GROUP BY 1)"
 _FIFTIES = "fifties AS (SELECT b.* FROM bag b JOIN articles a USING (id_kase) WHERE a.publicationYear BETWEEN 1950 AND 1959)"
 _SERIES = """series AS (SELECT period, ngram, sum(n)::BIGINT AS n FROM dated WHERE period IS NOT NULL GROUP BY 1, 2),
-totals AS (SELECT period, sum(wordCount)::BIGINT AS total FROM articles WHERE period IS NOT NULL GROUP BY 1),
-most AS (SELECT ngram FROM series GROUP BY 1 ORDER BY sum(n) DESC, ngram LIMIT 50)"""
+totals AS (SELECT period, sum(wordCount)::BIGINT AS total FROM articles WHERE period IS NOT NULL GROUP BY 1)"""
 _ALL = f"WITH {ARTICLES}, {BAG}, {_DATED}, {_MERGED}, {_FIFTIES}"
 _RUNS = """runs AS (SELECT doc_id, list_transform(range(1, len(tokens) - {k} + 2), lambda i: array_to_string(tokens[i:i + {k} - 1], ' ')) AS r FROM tokens),
 grams AS (SELECT ngram, count(*) AS n FROM (SELECT unnest(r) AS ngram FROM runs) GROUP BY 1)"""
@@ -213,8 +207,8 @@ SQL = {
         num AS (SELECT dec, ngram, sum(n) AS n FROM dated GROUP BY 1, 2)
         SELECT t.dec, w.ngram, round(coalesce(n.n, 0)::DOUBLE * 100.0 / nullif(t.total, 0)::DOUBLE, 6) AS pct
         FROM total t CROSS JOIN (SELECT unnest({list(WORDS)}) AS ngram) w LEFT JOIN num n ON n.dec = t.dec AND n.ngram = w.ngram""",
-    "freq_by_bidecade": f"{_ALL}, {_SERIES} SELECT period, ngram, round(n::DOUBLE / total::DOUBLE, 9) AS freq FROM series JOIN most USING (ngram) JOIN totals USING (period)",
-    "mean_freq_ranking": f"{_ALL}, {_SERIES} SELECT ngram, round(sum(n::DOUBLE / total::DOUBLE) / {len(PERIODS)}, 9) AS mean_freq FROM series JOIN most USING (ngram) JOIN totals USING (period) GROUP BY 1",
+    "freq_by_bidecade": f"{_ALL}, {_SERIES} SELECT period, ngram, round(n::DOUBLE / total::DOUBLE, 9) AS freq FROM series JOIN totals USING (period)",
+    "mean_freq_ranking": f"{_ALL}, {_SERIES} SELECT ngram, round(sum(n::DOUBLE / total::DOUBLE) / {len(PERIODS)}, 9) AS mean_freq FROM series JOIN totals USING (period) GROUP BY 1",
     "term_series_zero_filled": f"""{_ALL}, {_SERIES} SELECT t.period, w.ngram, coalesce(s.n, 0)::BIGINT AS n FROM totals t
         CROSS JOIN (SELECT unnest({list(WORDS)}) AS ngram) w LEFT JOIN series s ON s.period = t.period AND s.ngram = w.ngram""",
     "vocab_period_pivot": f"{_ALL}, {_SERIES} SELECT ngram, "

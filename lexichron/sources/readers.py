@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
+import pickle
+from collections import Counter
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 COUNTS = T.MapType(T.StringType(), T.LongType())
 METADATA = T.StructType(
@@ -47,18 +53,53 @@ def ngram_maps(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("d").try_cast("bigint").alias("doc"), F.explode("m").alias("ngram", "n"))
 
 
+class _PlainUnpickler(pickle.Unpickler):
+    """Reads numbers, texts and containers only: nothing that a file names is imported or run, but for counters."""
+
+    def find_class(self, module: str, name: str):
+        if (module, name) == ("collections", "Counter"):
+            return Counter
+        raise pickle.UnpicklingError(f"no plain value: {module}.{name}")
+
+
+def pickled_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``path, key, n`` of pickled maps of counts, a row for each entry; files that hold anything else raise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = _PlainUnpickler(io.BytesIO(content)).load()
+                columns = [pa.array([name] * len(counts), pa.string()), pa.array([str(k) for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "key", "n"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, key string, n bigint")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``line``: the lines of text files, trimmed, without blank ones."""
     return spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''")
 
 
 def columnar(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, or a Feather file by way of Arrow."""
-    if path.endswith((".feather", ".arrow")):
-        import pyarrow.feather as feather
-
-        return spark.createDataFrame(feather.read_table(path))
-    return spark.read.parquet(path)
+    """A Parquet table, or Feather files of one schema, each read in a task of its own, batch by batch."""
+    if not path.endswith((".feather", ".arrow")):
+        return spark.read.parquet(path)
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("path").orderBy("path").first()
+    if first is None:
+        raise FileNotFoundError(path)
+    head = files.filter(F.col("path") == first[0]).select("content").first()[0]
+    schema = from_arrow_schema(pa.ipc.open_file(pa.BufferReader(head)).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                reader = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
+                for k in range(reader.num_record_batches):
+                    yield reader.get_batch(k)
+
+    return files.select("content").mapInArrow(run, schema)
 
 
 def replacements(spark: SparkSession, path: str) -> DataFrame:

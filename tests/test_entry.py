@@ -15,7 +15,11 @@ def test_flagship(spark, sf_dir):
     assert df.columns == ["entry_id", "author_pos", "affil_pos"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["p4_found", "decade_sums", "bag_merge", "doc2bow", "tfidf_cooc_by_bidecade"])
+@pytest.mark.parametrize("name", [
+        "p4_found", "decade_sums", "bag_merge", "doc2bow", "count_cooc_by_bidecade", "tfidf_cooc_by_bidecade", "pmi_normalised", "pmi_filled", "tfidf_manual",
+        "tfidf_l2", "assoc_rank", "assoc_rank_halfdecades", "freq_by_bidecade", "mean_freq_ranking", "lemma_dictionary", "vocabulary_cleaned", "trigram_bow",
+        "clean_examples",
+    ])
 def test_query_equals_sql(spark, sf_dir, name):
     import compare
 

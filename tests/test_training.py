@@ -1,11 +1,14 @@
 """Word vectors of each period, over lines with their repetitions."""
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexichron.operators import vectors
 from lexichron.plans import matrices
 
-
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
@@ -24,7 +27,20 @@ def test_neighbours_per_period(spark, folder):
 
 
 def test_train_per_defaults(spark):
-    lines = spark.createDataFrame([("a", ["x", "y"])] * 5 + [("b", ["x"])], "period string, tokens array<string>")
+    lines = spark.createDataFrame([("a", "x y")] * 5 + [("b", "x")], "period string, line string")
     rows = vectors.train_per(lines, "period").collect()
     assert {(r.period, r.word, len(r.vec)) for r in rows} == {("a", "x", 100), ("a", "y", 100)}
     assert vectors.train_per(lines.limit(0), "period").count() == 0
+    drawn = vectors.train_per(lines.withColumn("w", F.lit(50)), "period", most_lines=60).collect()
+    assert {(r.period, r.word) for r in drawn} == {("a", "x"), ("a", "y"), ("b", "x")}
+
+
+def test_cbow_finds_words_of_like_contexts():
+    rng = random.Random(4)
+    lines = [f"{rng.choice(['cat', 'dog'])} {rng.choice(['eats', 'drinks'])} {rng.choice(['milk', 'meat'])}".split() for _ in range(400)]
+    lines += [f"{rng.choice(['king', 'queen'])} {rng.choice(['rules', 'governs'])} {rng.choice(['land', 'sea'])}".split() for _ in range(400)]
+    words, found = vectors.cbow(lines, size=16, epochs=40, exponent=0.75)
+    unit = found / np.linalg.norm(found, axis=1, keepdims=True)
+    like = lambda a, b: float(unit[words.index(a)] @ unit[words.index(b)])
+    assert like("cat", "dog") > like("cat", "queen") and like("rules", "governs") > like("rules", "drinks")
+    assert np.array_equal(found, vectors.cbow(lines, size=16, epochs=40, exponent=0.75)[1])
