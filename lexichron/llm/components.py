@@ -2,7 +2,8 @@
 
 Labels spread by minimum over neighbours, with a pointer jump each round, so the
 rounds grow with the logarithm of the longest path.  Each round is written to the
-shared scratch folder, which keeps the lineage short.
+shared scratch folder, which keeps the lineage short; the one before it is then
+deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexichron.session import written
+from lexichron.session import discard, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,7 +34,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             step.join(jump, "to", "left").select("node", F.least("to", "beyond").alias("component"), "before"), "labels"
         )
         changed = moved.filter("component <> before").limit(1).count()
-        labels = moved.select("node", "component")
+        discard(labels)
+        labels = moved
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("node", "component")
     raise RuntimeError("connected_components: not settled; raise max_rounds")

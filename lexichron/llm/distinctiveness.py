@@ -93,7 +93,7 @@ def fit_two_poisson(starts: np.ndarray, counts: np.ndarray, records: np.ndarray,
         two, _ = _step(one, *data)
         r, v = one - theta, two - 2 * one + theta
         size_v = np.sqrt((v * v).sum(axis=0))
-        alpha = -np.maximum(np.sqrt((r * r).sum(axis=0)) / np.maximum(size_v, 1e-300), 1.0)
+        alpha = -np.clip(np.sqrt((r * r).sum(axis=0)) / np.maximum(size_v, 1e-300), 1.0, 1e6)
         # the extrapolated step counts where it raises the likelihood
         far = np.clip(theta - 2 * alpha * r + alpha * alpha * v, -600, 600)
         after, reached = _step(far, *data)

@@ -68,6 +68,11 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctiveness(_counted(spark, sf_dir), min_records=2)
 
 
+def p6_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores that need no fit."""
+    return p6_scores(spark, sf_dir).select("id_kase", "term", "n", "d", "records", F.round("score", 6).alias("score"))
+
+
 #: DuckDB has no NFKC. These are the compatibility characters the tables use, under NFC.
 _COUNTED = """
 latest AS (
@@ -112,7 +117,7 @@ periods AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_pairs": p2_pairs, "p6_found": p6_found, "p6_scores": p6_scores}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_pairs": p2_pairs, "p6_found": p6_found, "p6_scores": p6_scores, "p6_tfidf": p6_tfidf}
 
 SQL = {
     "p1_found": f"WITH {_COUNTED} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
@@ -120,6 +125,8 @@ SQL = {
     "p2_found": f"WITH {_COUNTED}, {_PERIODS} SELECT term_a, term_b, bidecade FROM cases",
     "p2_pairs": f"""WITH {_COUNTED}, {_PERIODS} SELECT bidecade AS grp, term_a AS item_a, term_b AS item_b, n_all AS records,
   n_a, n_b, n_both, n_both * n_all / (n_a * n_b) AS lift FROM cases""",
+    "p6_tfidf": f"""WITH {_COUNTED} SELECT id_kase, term, n, t.records AS d, n_all AS records, round(n * (ln((1.0 + n_all) / (1.0 + t.records)) + 1), 6) AS score
+  FROM counted JOIN terms t USING (term), total WHERE t.records >= 2""",
     "p6_found": f"""WITH {_COUNTED}, scored AS (
   SELECT c.id_kase, c.term, round(c.n * (ln((1.0 + n_all) / (1.0 + t.records)) + 1), 9) AS score
   FROM counted c JOIN terms t USING (term), total WHERE t.records >= 2)
