@@ -205,6 +205,7 @@ QUERIES = {
     "lda_term_topics": _term_topics,
     "lda_topic_coherence": _coherence,
     "word2vec_neighbours": _trained,
+    "tsne_map": lambda s, d: vectors.mapped(_vectors(s, d)),
     "pca_projection": lambda s, d: vectors.projected(_vectors(s, d)),
 }
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexichron.functions import text as T
 from lexichron.functions.predicate import predicate
+from lexichron.functions.snowball import snowball_stem
 from lexichron.operators import bags as B
 from lexichron.operators import corpus, vocabulary
 from lexichron.plans.common import ARTICLES, BAG, TOKENS, articles, bag, dated_bag, documents, rounded
@@ -161,6 +162,8 @@ QUERIES = {
     "capitalised_keys": lambda s, d: B.merge(bag(s, d).filter(F.col("ngram").rlike(r"^\p{Lu}"))),
     "prefix_keys": lambda s, d: B.merge(bag(s, d).filter(F.col("ngram").rlike("^pre"))),
     "weighted_line_export": lambda s, d: _fifties(s, d).groupBy("ngram").agg(F.sum("n").alias("w")).select(F.col("ngram").alias("line"), "w", (F.col("w") * F.length("ngram")).alias("chars")),
+    "snowball_counts": lambda s, d: B.merge(B.merge(bag(s, d).withColumn("ngram", F.lower("ngram"))).withColumn("ngram", snowball_stem("ngram"))),
+    "text_stem_counts": lambda s, d: B.merge(corpus.document_ngrams(documents(s, d), 2).groupBy("ngram").agg(F.count("*").alias("n")).withColumn("ngram", T.text_stems("ngram"))),
     "stemmed_counts": lambda s, d: B.merge(B.merge(bag(s, d).withColumn("ngram", F.lower("ngram"))).withColumn("ngram", T.porter_stem("ngram"))),
 }
 

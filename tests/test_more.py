@@ -152,3 +152,31 @@ def test_written_tables_are_discarded(spark):
     with session.timed("x", told.append):
         pass
     assert told[0].startswith("x: ")
+
+
+# Words and their stems from the published vocabulary of the English Snowball stemmer.
+STEMS = {
+    "consist": "consist", "consisted": "consist", "consistency": "consist", "consisting": "consist", "consolations": "consol", "consolingly": "consol", "conspicuously": "conspicu",
+    "knightly": "knight", "knitting": "knit", "knives": "knive", "knocked": "knock", "knots": "knot", "running": "run", "happiness": "happi", "relational": "relat", "studies": "studi",
+    "generously": "generous", "generate": "generat", "communism": "communism", "skies": "sky", "dying": "die", "proceed": "proceed", "ties": "tie", "gas": "gas", "this": "this",
+    "hopping": "hop", "hoping": "hope", "falling": "fall", "agreed": "agre", "by": "by", "say": "say", "cry": "cri", "controll": "control", "rational": "ration", "youth's": "youth",
+}
+
+
+@pytest.mark.parametrize(("word", "stem"), STEMS.items())
+def test_snowball(word, stem):
+    from lexichron.functions.snowball import snowball
+
+    assert snowball(word) == stem
+
+
+def test_map_keeps_neighbours_together(spark):
+    rows = [(k, [1.0 + k % 7 / 100, k % 5 / 100, 0.0]) for k in range(20)] + [(100 + k, [0.0, k % 5 / 100, 1.0 + k % 7 / 100]) for k in range(20)] + [(500, None)]
+    df = spark.createDataFrame(rows, "word int, vec array<double>")
+    got = {r.word: (r.x1, r.x2) for r in vectors.mapped(df, perplexity=5).collect()}
+    assert len(got) == 40 and all(0 <= x <= 1 for p in got.values() for x in p)
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(got[a], got[b]))
+    nearest = {w: min((o for o in got if o != w), key=lambda o: far(w, o)) for w in got}
+    assert all((w < 100) == (o < 100) for w, o in nearest.items())
+    with pytest.raises(ValueError, match="choose words"):
+        vectors.mapped(df, most=3)
