@@ -12,6 +12,13 @@ Defined results: null and empty texts both give the empty list; strings of
 special tokens in a text are ordinary text; texts are encoded whole, however
 long.  Long ones go through the library in parts that end between two words,
 where its pre-tokenizer divides anyway, so the ids are the same.
+
+A byte-level tokenizer encodes each of its pre-tokenizer's pieces by itself, and
+pieces repeat.  So a text is divided here as that pre-tokenizer divides it, and
+the library encodes each distinct piece once a worker.  Whether the two divide
+alike is found out for every character of the basic plane beforehand; texts with
+a character that is told apart otherwise, or beyond that plane, go to the library
+whole, as do all texts of other kinds of tokenizers.
 """
 
 from __future__ import annotations
@@ -21,10 +28,12 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +70,78 @@ def parts(text: str, most: int = AT_ONCE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_texts(texts: list[str | None], name: str, folder: str) -> list[np.ndarray]:
-    """Ids of each text."""
+# The published pattern by which byte-level tokenizers of this kind divide a text.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces whose ids a worker keeps, and the longest of them.
+PIECES_KEPT, PIECE_LENGTH = 300_000, 64
+_KEPT: dict[tuple[str, str], dict[str, list[int]]] = {}
+
+
+@lru_cache(maxsize=4)
+def odd_characters(name: str, folder: str) -> str | None:
+    """The characters of the basic plane by which the tokenizer divides texts otherwise than ``PIECES``; None if it is of another kind."""
+    with open(f"{folder}/{name}.json", encoding="utf-8") as file:
+        described = json.load(file)
+    before = described.get("pre_tokenizer") or {}
+    if described.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True):
+        return None
+    divide = tokenizer(name, folder).pre_tokenizer.pre_tokenize_str
+    characters = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    odd = set()
+    for first in "a1!":  # which of them a character stays with tells its kind
+        probe = "".join(f"{first}{c}\n" for c in characters)
+        theirs = {at for _, (at, _) in divide(probe)}
+        ours = {m.start() for m in regex.compile(PIECES).finditer(probe)}
+        odd |= {characters[at // 3] for at in theirs ^ ours}
+    return "".join(sorted(odd))
+
+
+def _by_pieces(texts: list[str], name: str, folder: str) -> list[list[list[int]]]:
+    """For each text the ids of its pieces; distinct pieces are encoded once."""
+    kept = _KEPT.setdefault((name, folder), {})
+    if len(kept) > PIECES_KEPT:
+        kept.clear()
+    divided = [_PIECES.findall(t) for t in texts]
+    new = list({p for pieces in divided for p in pieces if p not in kept})
+    known = kept
+    if new:
+        made = tokenizer(name, folder)
+        found = made.encode_batch_fast(new, add_special_tokens=False) if hasattr(made, "encode_batch_fast") else made.encode_batch(new, add_special_tokens=False)
+        ids = dict(zip(new, (e.ids for e in found)))
+        kept.update((p, i) for p, i in ids.items() if len(p) <= PIECE_LENGTH)
+        known = kept if len(ids) == sum(len(p) <= PIECE_LENGTH for p in ids) else kept | ids
+    return [[known[p] for p in pieces] for pieces in divided]
+
+
+def _plain(text: str, odd: str) -> bool:
+    """Whether a text is divided here as the tokenizer divides it."""
+    return text.isascii() and not odd or not _odd_pattern(odd).search(text)
+
+
+@lru_cache(maxsize=4)
+def _odd_pattern(odd: str) -> re.Pattern:
+    return re.compile("[" + "".join(map(re.escape, odd)) + "\U00010000-\U0010ffff]")
+
+
+_PIECES = regex.compile(PIECES)
+
+
+def encode_texts(texts: list[str | None], name: str, folder: str, odd: str | None = None) -> list[np.ndarray]:
+    """Ids of each text; with the tokenizer's ``odd_characters`` by distinct pieces, where those don't stand against it."""
+    empty = np.empty(0, np.int32)
+    if odd is None:
+        return _by_library(texts, name, folder)
+    plain = [k for k, t in enumerate(texts) if t and _plain(t, odd)]
+    out: list = [empty] * len(texts)
+    for k, pieces in zip(plain, _by_pieces([texts[k] for k in plain], name, folder)):
+        out[k] = np.asarray(list(chain.from_iterable(pieces)), np.int32)
+    rest = sorted({k for k, t in enumerate(texts) if t} - set(plain))
+    for k, ids in zip(rest, _by_library([texts[k] for k in rest], name, folder)):
+        out[k] = ids
+    return out
+
+
+def _by_library(texts: list[str | None], name: str, folder: str) -> list[np.ndarray]:
     made = tokenizer(name, folder)
     encode = getattr(made, "encode_batch_fast", made.encode_batch)
     pieces: list[tuple[int, str]] = [(k, part) for k, text in enumerate(texts) if text for part in parts(text)]
@@ -152,11 +231,13 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
 def encode(documents: DataFrame, name: str = "byte_bpe_50k", offsets: bool = False, folder: str = FOLDER) -> DataFrame:
     """``doc_id, ids`` of ``doc_id, text``; with ``offsets`` also ``starts`` and ``ends`` of the tokens, in characters."""
 
+    odd = odd_characters(name, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
-                ids = encode_texts(texts, name, folder)
+                ids = encode_texts(texts, name, folder, odd)
                 columns = [batch.column(0), _list_array(ids, pa.int32())]
                 names = ["doc_id", "ids"]
                 if offsets:
@@ -183,11 +264,12 @@ def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER)
 
 def token_counts(documents: DataFrame, name: str, folder: str = FOLDER) -> DataFrame:
     """``doc_id, n_tokens``; null and empty texts have 0."""
+    odd = odd_characters(name, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
-                sizes = [len(ids) for ids in encode_texts(batch.column(1).to_pylist(), name, folder)]
+                sizes = [len(ids) for ids in encode_texts(batch.column(1).to_pylist(), name, folder, odd)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

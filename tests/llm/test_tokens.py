@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lexichron.llm import packing, tokens
 
@@ -81,3 +83,31 @@ def test_packing(spark):
         assert sum(k for _, k in got) == (n or 0) and got[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(got, got[1:]))
         assert len(got) == max(1, -(-(n or 0) // 10))
     assert packing.pack(df.limit(0), 0).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(), st.sampled_from(" \n\t'’sdl1½éあ𐐀՘　\x1c᠎")), max_size=60), max_size=4))
+def test_pieces_give_what_the_library_gives(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    for name in ("byte_bpe_50k", "word_bpe_49k"):
+        odd = tokens.odd_characters(name, tokens.FOLDER)
+        assert (odd is None) == (name == "word_bpe_49k")
+        for a, b in zip(tokens.encode_texts(texts, name, tokens.FOLDER, odd), tokens.encode_texts(texts, name, tokens.FOLDER)):
+            assert a.tolist() == b.tolist()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "word_bpe_49k"])
+def test_long_texts_in_parts(name, monkeypatch):
+    texts = ["The letter's 12 words  went\n\nto the city. " * 30, "x" * 500, "Straße über ναός " * 40]
+    whole = tokens.encode_texts(texts, name, tokens.FOLDER)
+    divided = tokens.parts
+    monkeypatch.setattr(tokens, "parts", lambda text: divided(text, 40))
+    assert all(a.tolist() == b.tolist() for a, b in zip(whole, tokens.encode_texts(texts, name, tokens.FOLDER)))
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a b")] * 40 + [(1, "a b"), (1, "a b")], "doc_id bigint, text string")
+    assert tokens.encode(df).filter("doc_id is null and size(ids) = 2").count() == 40
+    items = spark.createDataFrame([(1, 4, None, 3)] * 40 + [(1, 4, 7, 9)], "limit_id int, capacity int, doc_id bigint, n_tokens bigint")
+    got = packing.pack(items, 41, group_items=5).collect()
+    assert sum(r.n_tokens for r in got) == 129 and len({r.container >> 32 for r in got}) > 3
