@@ -10,7 +10,8 @@ from lexichron.functions.snowball import snowball_stem
 from lexichron.operators import bags as B
 from lexichron.operators import corpus, vocabulary
 from lexichron.plans.common import ARTICLES, BAG, TOKENS, articles, bag, dated_bag, documents, rounded
-from lexichron.session import table
+from lexichron.session import written
+from lexichron.sources.writers import repeated_lines
 
 PERIODS = ["1900-1919", "1920-1939", "1940-1959", "1960-1979", "1980-1999", "2000-2019"]
 #: Words followed over time.
@@ -126,6 +127,17 @@ def _bow(s, d, least=1):
     return bow.select("doc_id", F.concat_ws(" ", F.transform("bow", lambda x: F.concat_ws(":", x["token_id"], x["n"]))).alias("bow"))
 
 
+#: Lines of a sample.
+SAMPLE_LINES = 1000
+
+
+def _sampled(s, d):
+    """A drawn sample of lines: how many there are, and how many of them stand in the table."""
+    lines = written(B.merge(_fifties(s, d)).select(F.col("ngram").alias("line"), F.col("n").alias("w")), "sampled-from")
+    drawn = B.sample_lines(lines, SAMPLE_LINES, 1)
+    return drawn.join(lines.select("line", F.lit(1).alias("held")), "line", "left").agg(F.count("*").alias("n"), F.count("held").alias("held"))
+
+
 QUERIES = {
     "bag_merge": lambda s, d: B.merge(_fifties(s, d)),
     "top_unigrams": lambda s, d: B.top(_not_stop(B.merge(_fifties(s, d))), 10),
@@ -162,6 +174,8 @@ QUERIES = {
     "capitalised_keys": lambda s, d: B.merge(bag(s, d).filter(F.col("ngram").rlike(r"^\p{Lu}"))),
     "prefix_keys": lambda s, d: B.merge(bag(s, d).filter(F.col("ngram").rlike("^pre"))),
     "weighted_line_export": lambda s, d: _fifties(s, d).groupBy("ngram").agg(F.sum("n").alias("w")).select(F.col("ngram").alias("line"), "w", (F.col("w") * F.length("ngram")).alias("chars")),
+    "repeated_lines": lambda s, d: repeated_lines(_fifties(s, d).groupBy(F.col("ngram").alias("line")).agg(F.sum("n").alias("w"))).groupBy("line").agg(F.count("*").alias("n")),
+    "sampled_lines": _sampled,
     "snowball_counts": lambda s, d: B.merge(B.merge(bag(s, d).withColumn("ngram", F.lower("ngram"))).withColumn("ngram", snowball_stem("ngram"))),
     "text_stem_counts": lambda s, d: B.merge(corpus.document_ngrams(documents(s, d), 2).groupBy("ngram").agg(F.count("*").alias("n")).withColumn("ngram", T.text_stems("ngram"))),
     "stemmed_counts": lambda s, d: B.merge(B.merge(bag(s, d).withColumn("ngram", F.lower("ngram"))).withColumn("ngram", T.porter_stem("ngram"))),
@@ -245,5 +259,7 @@ SQL = {
     "point_lookup": f"{_ALL} SELECT coalesce(max(n) FILTER (ngram = 'covenant'), 0)::BIGINT AS n FROM merged",
     "capitalised_keys": f"{_ALL} SELECT ngram, n FROM merged WHERE regexp_matches(ngram, '^\\p{{Lu}}')",
     "prefix_keys": f"{_ALL} SELECT ngram, n FROM merged WHERE starts_with(ngram, 'pre')",
+    "repeated_lines": f"{_ALL} SELECT ngram AS line, sum(n)::BIGINT AS n FROM fifties GROUP BY 1",
+    "sampled_lines": f"SELECT {SAMPLE_LINES} AS n, {SAMPLE_LINES} AS held",
     "weighted_line_export": f"{_ALL} SELECT ngram AS line, sum(n)::BIGINT AS w, (sum(n) * length(ngram))::BIGINT AS chars FROM fifties GROUP BY ngram",
 }

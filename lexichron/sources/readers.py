@@ -102,6 +102,12 @@ def columnar(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, schema)
 
 
+def word_list(spark: SparkSession, *paths: str, column: str = "word") -> DataFrame:
+    """The union of word lists kept as text files, one word a line; blank lines and lines that begin with # are left out."""
+    words = spark.read.text(list(paths)).select(F.trim("value").alias(column))
+    return words.filter((F.col(column) != "") & ~F.col(column).startswith("#")).distinct()
+
+
 def replacements(spark: SparkSession, path: str) -> DataFrame:
     """``before, after`` of a JSON map kept with the settings."""
     return spark.createDataFrame(list(json.loads(Path(path).read_text()).items()), "before string, after string")

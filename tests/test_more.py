@@ -137,6 +137,8 @@ def test_pickles_and_feather(spark, tmp_path):
     for k in range(2):
         pyarrow.feather.write_feather(pa.table({"k": [k, k + 10], "t": ["a", None]}), f"{tmp_path}/{k}.feather")
     assert sorted(r.k for r in readers.columnar(spark, f"{tmp_path}/*.feather").collect()) == [0, 1, 10, 11]
+    (tmp_path / "s.txt").write_text("the\n\n# note\n of \nthe\n")
+    assert {r.word for r in readers.word_list(spark, f"{tmp_path}/s.txt").collect()} == {"the", "of"}
     (tmp_path / "r.json").write_text('{"a": "b"}')
     assert [tuple(r) for r in readers.replacements(spark, f"{tmp_path}/r.json").collect()] == [("a", "b")]
     assert readers.local_or_remote(f"{tmp_path}/r.json", "x") == f"{tmp_path}/r.json" and readers.local_or_remote("/no/such", "x") == "x"
