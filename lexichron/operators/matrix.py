@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 def line_terms(lines: DataFrame, vocabulary: DataFrame | None, tokens: Column) -> DataFrame:
     """``period, line_id, w, terms``: term frequencies of each line, an array of (term, tf). Lines without one keep an empty array."""
     per = lines.groupBy("period", "line").agg(F.sum("w").alias("w"))
+    if vocabulary is None:  # within the row
+        found = per.withColumn("tokens", tokens)
+        count = lambda t: F.size(F.filter("tokens", lambda x: x == t)).cast("bigint")
+        terms = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), count(t).alias("tf")))
+        return found.select("period", "line", "w", F.array_sort(terms).alias("terms"))
     exploded = per.select("period", "line", "w", F.explode_outer(tokens).alias("term"))
-    if vocabulary is not None:
-        known = F.broadcast(vocabulary.select("term", F.lit(True).alias("known")))  # the chosen vocabulary is a parameter
-        exploded = exploded.join(known, "term", "left").withColumn("term", F.when(F.col("known"), F.col("term"))).drop("known")
+    known = vocabulary.select("term", F.lit(True).alias("known"))
+    exploded = exploded.join(known, "term", "left").withColumn("term", F.when(F.col("known"), F.col("term"))).drop("known")
     counted = exploded.groupBy("period", "line", "w", "term").agg(F.count("*").alias("tf"))
     terms = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
     return counted.groupBy("period", "line", "w").agg(F.array_sort(terms).alias("terms"))
@@ -44,10 +48,10 @@ def cooccurrence(valued: DataFrame) -> DataFrame:
     Only one triangle is made and shuffled; the other is its mirror.
     """
     per = valued.groupBy("period", "line", "w").agg(F.array_sort(F.collect_list(F.struct("term", "value"))).alias("terms"))
-    pairs = F.flatten(
-        F.transform("terms", lambda a, i: F.transform(F.slice("terms", i + 1, F.size("terms")), lambda b: F.struct(a["term"].alias("row"), b["term"].alias("col"), (a["value"] * b["value"]).alias("x"))))
-    )
-    each = per.select("period", "w", F.explode(pairs).alias("p"))
+    # two generators in a row, so the pairs of a long line are made one after another and never held together
+    first = per.select("period", "w", "terms", F.posexplode("terms").alias("i", "a"))
+    pairs = first.select("period", "w", "a", F.explode(F.slice("terms", F.col("i") + 1, F.size("terms"))).alias("b"))
+    each = pairs.select("period", "w", F.struct(F.col("a.term").alias("row"), F.col("b.term").alias("col"), (F.col("a.value") * F.col("b.value")).alias("x")).alias("p"))
     half = each.groupBy("period", F.col("p.row").alias("row"), F.col("p.col").alias("col")).agg(F.sum(F.col("w") * F.col("p.x")).alias("value"))
     both = F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col")))
     cells = F.explode(F.when(F.col("row") == F.col("col"), F.slice(both, 1, 1)).otherwise(both)).alias("c")

@@ -22,7 +22,7 @@ def tokens_of(dictionary_: DataFrame, ids: DataFrame) -> DataFrame:
 def bag_of_words(rows: DataFrame, dictionary_: DataFrame, key: str = "token", doc: str = "doc_id") -> DataFrame:
     """``doc, bow``: pairs of token id and count of each document, by id; tokens not in the dictionary are dropped."""
     known = rows.join(dictionary_.select(F.col("token").alias(key), "token_id"), key)
-    counted = known.groupBy(doc, "token_id").agg(F.sum("n").alias("n"))
+    counted = known.repartition(doc).groupBy(doc, "token_id").agg(F.sum("n").alias("n"))  # one shuffle for both groupings; a document is bounded by its text
     return counted.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("token_id", "n"))).alias("bow"))
 
 

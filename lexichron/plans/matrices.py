@@ -41,7 +41,8 @@ def _lines(s, d, **how):
 
 
 def _line_terms(s, d, **how):
-    return written(M.line_terms(_lines(s, d, **how), None, F.split("line", " ")), "line-terms")
+    found = M.line_terms(_lines(s, d, **how), None, F.split("line", " "))
+    return written(found.withColumn("line", F.monotonically_increasing_id()), "line-terms")  # from here on a number stands for the line
 
 
 def _vocabulary(line_terms):

@@ -123,7 +123,8 @@ def _dictionary(s, d):
 
 
 def _bow(s, d, least=1):
-    bow = vocabulary.bag_of_words(_tokens(s, d), _dictionary(s, d)).filter(F.size("bow") > least - 1)
+    tokens = written(_tokens(s, d), "tokens")
+    bow = vocabulary.bag_of_words(tokens, vocabulary.dictionary(tokens, LEAST)).filter(F.size("bow") > least - 1)
     return bow.select("doc_id", F.concat_ws(" ", F.transform("bow", lambda x: F.concat_ws(":", x["token_id"], x["n"]))).alias("bow"))
 
 
