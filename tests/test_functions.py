@@ -19,6 +19,7 @@ def test_clean_filter(spark, given, expected):
     assert one(spark, given, lambda x: T.clean_filter(x, ["the", "wouldn't"])) == expected
 
 
+# Stated examples and their results.
 @pytest.mark.parametrize(
     ("given", "expected"),
     [
