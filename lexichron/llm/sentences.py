@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexichron.llm.tokens import in_share, share, slices, spread
+from lexichron.llm.tokens import slices, spread
 
 #: Most symbols of one chunk.
 CHUNK = 256
@@ -539,30 +539,24 @@ def split_texts(texts: list[str | None], known: Words | None = None) -> list[tup
     return [(found.starts[a:b] - found.bounds[k], found.ends[a:b] - found.bounds[k]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
 
 
-#: Documents from which abbreviations are learned, and the shortest and longest word that may be one.
-LEARN_FROM = 20_000
+#: Shortest and longest word that may be learned as an abbreviation.
 LEARN_LETTERS = (2, 5)
 #: Least occurrences with a point, share of all occurrences that have one, and share of those that go on in lower case or with a number.
 LEARN_COUNT, LEARN_DOTTED, LEARN_ONWARD = 20, 0.9, 0.9
 
 
-def learned_abbreviations(documents: DataFrame, sample: int = LEARN_FROM) -> frozenset[str]:
+def learned_abbreviations(documents: DataFrame) -> frozenset[str]:
     """Words that the texts show to be abbreviations: nearly always with a point after them, and nearly always with more of the sentence.
 
-    A model fitted on a bounded sample: about ``sample`` documents, chosen by a
-    hash of the id.  It is counted in the JVM, and what comes back is bounded by
-    the words that 20 occurrences each can make of that sample.
+    All occurrences in all documents count, in the JVM: first each spelling with what
+    follows its point, then each word.  Only the abbreviations come back.
     """
-    total = documents.count()
-    if not total:
-        return frozenset()
-    chosen = documents.filter(F.col("text").isNotNull() & in_share(F.lit(share(sample, total)), "doc_id", "text"))
     few, most = LEARN_LETTERS
     found = F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}\p{{M}}.])\p{{L}}{{{few},{most}}}(?![\p{{L}}\p{{N}}\p{{M}}])(?:\.(?= ?[\p{{L}}\p{{N}}])(?: ?[\p{{L}}\p{{N}}])?)?"), F.lit(0))
-    each = chosen.select(F.explode(found).alias("m"))
+    spelled = documents.filter(F.col("text").isNotNull()).select(F.explode(found).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
     word, dotted = F.lower(F.split_part("m", F.lit("."), F.lit(1))), F.col("m").contains(".")
     onward = dotted & F.col("m").rlike(r"[\p{Ll}\p{N}]$")
-    counts = each.groupBy(word.alias("w")).agg(F.count("*").alias("n"), F.count_if(dotted).alias("d"), F.count_if(onward).alias("o"))
+    counts = spelled.groupBy(word.alias("w")).agg(F.sum("n").alias("n"), F.sum(F.when(dotted, F.col("n")).otherwise(0)).alias("d"), F.sum(F.when(onward, F.col("n")).otherwise(0)).alias("o"))
     kept = counts.filter((F.col("d") >= LEARN_COUNT) & (F.col("d") >= F.col("n") * LEARN_DOTTED) & (F.col("o") >= F.col("d") * LEARN_ONWARD))
     return frozenset(r[0] for r in kept.select("w").collect())
 

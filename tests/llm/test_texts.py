@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexichron.llm import languages as L
 from lexichron.llm import sentences as S
@@ -106,6 +107,12 @@ def test_learned_abbreviations(spark):
     assert S.learned_abbreviations(df.limit(0)) == frozenset()
 
 
+def test_abbreviations_are_learned_from_all_documents(spark):
+    """Twenty occurrences among 60,000 documents: any part of the documents shows fewer."""
+    text = F.when(F.col("id") % 3000 == 7, F.concat(F.lit("It weighs 5 qtz. of corn, "), F.col("id"))).otherwise(F.lit("He left."))
+    assert S.learned_abbreviations(spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"))) == {"qtz"}
+
+
 def test_long_text():
     text = "The letter came. " * 60_000
     starts, _ = S.split_texts([text])[0]
