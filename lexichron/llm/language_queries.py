@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexichron.llm.languages import UNDETERMINED, fitted, main_languages, named_languages, segments
+from lexichron.llm.languages import UNDETERMINED, fitted_segments, main_languages, named_languages
 from lexichron.llm.sentences import learned_abbreviations
 from lexichron.session import table
 
 
 def _segments(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    learned = learned_abbreviations(documents)
-    return segments(documents, fitted(documents, table(spark, sf_dir, "lang_labels"), learned), learned, keep)
+    return fitted_segments(documents, table(spark, sf_dir, "lang_labels"), learned_abbreviations(documents), keep)
 
 
 def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

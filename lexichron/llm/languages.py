@@ -7,17 +7,16 @@ n-grams, how far its rank in the sentence lies from its rank in the profile, and
 a fixed penalty where the profile lacks it.  Sentences of the same language that
 follow one another make a segment.
 
-The languages are those of the table of labels.  Profiles are fitted here, on a
-bounded sample of labelled documents (about ``SAMPLE`` of each label, none longer
-than ``SAMPLE_CHARS``); the n-grams are counted in the executors, and only the
+The languages are those of the table of labels.  Profiles are fitted here, on all
+labelled documents; the n-grams are counted in the executors, and only the
 profiles come to the driver.  Labels may be wrong, so the fit is done twice: the
-second time each sentence of the sample counts for the language that the first
-profiles give it.  A language is compared only with sentences in its script,
+second time each sentence of a labelled document counts for the language that the
+first profiles give it.  A language is compared only with sentences in its script,
 which is the one that most letters under its label are in.
 
 A sentence farther from its nearest language than ``unknown`` has language
 ``und``: that limit lies half-way between the distance that all but a thousandth
-of the sample's sentences keep to their own language and the usual distance to
+of these sentences keep to their own language and the usual distance to
 the farthest language of the script (where a script has but one, to none at all).
 
 Defined results: null, empty and blank texts, and texts without a letter of a
@@ -31,22 +30,24 @@ labelled document there are no profiles, and no segments.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexichron.llm.sentences import Split, Words, split_batch, words_known
+from lexichron.llm.sentences import Split, Words, joined, split_batch, words_known
 from lexichron.llm.tokens import in_share, share, slices, spread
-from lexichron.session import cores, written
+from lexichron.session import cores, discard, written
 
 #: N-grams of a profile, which is also the penalty for one that is missing.
 PROFILE = 1500
-#: Sampled documents of each label, and the most characters of one.
+#: Documents of each label in ``labelled_sample``, and the most characters of one.
 SAMPLE = 300
 SAMPLE_CHARS = 20_000
 #: Letters from which a sentence is judged by itself, and the least lead of the nearest language.
@@ -83,6 +84,10 @@ NAMES = list(RANGES)
 #: Bits of a character in an n-gram, and the most sentences beside three characters in 64 bits.
 BITS = 16
 MOST_SENTENCES = 1 << 16
+#: Sentences that are judged at once: few enough that their n-grams stay in a core's cache.
+JUDGED_AT_ONCE = 1 << 11
+#: Parts of a language's n-grams that are ranked by themselves first.
+PARTS = 64
 NONE = 0xFFFF
 #: Beyond the basic plane, Han characters are one character, and there are no other letters.
 BEYOND_HAN, BEYOND = 0xFFFE, 0xFFFF
@@ -301,17 +306,16 @@ def judge(profiles: Profiles, points: np.ndarray, sentence: np.ndarray, sentence
     return Judged(language, runner_up, np.minimum(nearest, PROFILE) / PROFILE, np.where(farthest < 0, 1, farthest / PROFILE), np.clip(lead, 0, 1), script, total)
 
 
-GRAMS_DDL = "lang string, script int, gram bigint, n bigint"
-GRAMS = pa.schema([("lang", pa.string()), ("script", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
-LEADS_DDL = "lang string, own double, other double"
-LEADS = pa.schema([("lang", pa.string()), ("own", pa.float64()), ("other", pa.float64())])
+GRAMS_DDL = "lang int, script int, gram bigint, n bigint"
+GRAMS = pa.schema([("lang", pa.int32()), ("script", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def _blocks(found: Split):
+def _blocks(found: Split, most: int | None = None):
     """Code points and sentences (-1: none) of a batch, in blocks of no more sentences than a key can hold: (points, sentence, first, last)."""
     points = _letters(found.points)
-    for a in range(0, len(found.starts), MOST_SENTENCES):
-        b = min(a + MOST_SENTENCES, len(found.starts))
+    most = min(most or MOST_SENTENCES, MOST_SENTENCES)
+    for a in range(0, len(found.starts), most):
+        b = min(a + most, len(found.starts))
         begin, end = int(found.starts[a]), int(found.ends[b - 1])
         starts, sizes = found.starts[a:b] - begin, found.ends[a:b] - found.starts[a:b]
         sentence = np.full(end - begin + 1, -1, np.int32)
@@ -320,87 +324,179 @@ def _blocks(found: Split):
         yield np.r_[points[begin:end], np.uint32(10)], sentence, a, b
 
 
-def _counted(points: np.ndarray, sentence: np.ndarray, group: np.ndarray, names: list[tuple[str, int]]) -> pa.RecordBatch:
-    """Counts of n-grams by group of the sentence (-1: none); ``names`` are (language, script) of the groups."""
-    of = np.where(sentence >= 0, group[np.maximum(sentence, 0)], -1) if len(group) else sentence
-    distinct, n = np.unique(_grams(points, of), return_counts=True)
-    k = (distinct >> np.uint64(3 * BITS)).astype(np.int64)
+def _judged(profiles: Profiles, found: Split) -> Judged:
+    """All sentences of a batch."""
+    parts = [judge(profiles, points, sentence, b - a) for points, sentence, a, b in _blocks(found, JUDGED_AT_ONCE)]
+    return Judged(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Judged))) if parts else judge(profiles, np.empty(0, np.uint32), np.empty(0, np.int32), 0)
+
+
+def _counted(points: np.ndarray, sentence: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    """Counts of n-grams by group of the sentence (-1: none), which is ``language * len(NAMES) + script``."""
+    used, number = np.unique(group, return_inverse=True)
+    number = np.where(group >= 0, number, -1)
+    distinct, n = np.unique(_grams(points, np.where(sentence >= 0, number[np.maximum(sentence, 0)], -1)), return_counts=True)
+    of = used[(distinct >> np.uint64(3 * BITS)).astype(np.int64)]
     gram = (distinct & np.uint64((1 << 3 * BITS) - 1)).astype(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([names[i][0] for i in k.tolist()], pa.string()), pa.array([names[i][1] for i in k.tolist()], pa.int32()), pa.array(gram), pa.array(n.astype(np.int64))], schema=GRAMS
-    )
+    return pa.RecordBatch.from_arrays([pa.array((of // len(NAMES)).astype(np.int32)), pa.array((of % len(NAMES)).astype(np.int32)), pa.array(gram), pa.array(n.astype(np.int64))], schema=GRAMS)
 
 
 def _profiles_of(counted: DataFrame, languages: list[str]) -> Profiles:
     """The most frequent n-grams of each language in the script of most of its letters; at most PROFILE rows a language are collected."""
-    summed = counted.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n"))
-    of_script = W.partitionBy("lang", "script")
-    # the n-grams of a language are those of a bounded sample
-    order = W.partitionBy("lang").orderBy(F.desc("all"), "script", F.desc("n"), "gram")
-    ranked = summed.withColumn("all", F.sum("n").over(of_script)).withColumn("rank", F.row_number().over(order)).withColumn("main", F.first("script").over(order))
-    rows = ranked.filter((F.col("rank") <= PROFILE) & (F.col("script") == F.col("main"))).select("lang", "script", "gram", "rank").toPandas()
-    keys = np.unique(rows["gram"].to_numpy().astype(np.uint64))
-    ranks = np.full((len(languages), len(keys)), PROFILE, np.int16)
+    summed = written(counted.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n")), "n-grams")
+    totals = summed.groupBy("lang", "script").agg(F.sum("n").alias("n")).collect()  # at most languages x scripts
+    main = {lang: -script for _, script, lang in sorted((n, -script, lang) for lang, script, n in totals)}
     scripts = np.full(len(languages), -1)
-    for lang, of in rows.groupby("lang"):
-        k = languages.index(lang)
-        ranks[k, np.searchsorted(keys, of["gram"].to_numpy().astype(np.uint64))] = of["rank"].to_numpy() - 1
-        scripts[k] = int(of["script"].iloc[0])
+    rows = []
+    if main:
+        of_main = summed.filter(F.create_map(*[F.lit(x) for pair in sorted(main.items()) for x in pair])[F.col("lang")] == F.col("script"))
+        # no task sorts all n-grams of a language: those of a part come first, then the first of all parts
+        in_part = W.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).orderBy(F.desc("n"), "gram")
+        first = of_main.withColumn("rank", F.row_number().over(in_part)).filter(F.col("rank") <= PROFILE)
+        ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= PROFILE)
+        rows = ranked.select("lang", "gram", "rank").collect()
+    discard(summed)
+    lang, gram, rank = (np.asarray([row[k] for row in rows], np.int64) for k in range(3))
+    keys = np.unique(gram.astype(np.uint64))
+    ranks = np.full((len(languages), len(keys)), PROFILE, np.int16)
+    ranks[lang, np.searchsorted(keys, gram.astype(np.uint64))] = rank - 1
+    for k, script in main.items():
+        scripts[k] = script
     return Profiles(languages, scripts, keys, ranks, np.full(len(languages), np.inf))
 
 
-def fit(documents: DataFrame, languages: list[str], learned: frozenset[str] = frozenset(), rounds: int = 2) -> Profiles:
-    """Profiles of the languages from rows ``text, lang``, whose labels may be wrong; languages without a text keep an empty profile.
+PLACES = [T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("starts", "ends")]
 
-    ``documents`` is read once a round, and once for the limits: give it a table of bounded size.
-    """
-    languages = sorted(languages)
-    source = documents.filter(F.col("text").isNotNull() & F.col("lang").isin(languages)).select("text", "lang")
 
-    def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(values: np.ndarray, text_of: np.ndarray, texts: int, kind: pa.DataType) -> pa.Array:
+    """A list for each text."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text_of, np.arange(texts + 1)).astype(np.int32)), pa.array(values, kind))
+
+
+def placed(documents: DataFrame, learned: frozenset[str] = frozenset()) -> DataFrame:
+    """``documents`` with ``starts`` and ``ends`` of the sentences of ``text``, so that texts which are read again needn't be split again."""
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words_known(learned)
         for whole in batches:
-            for batch in slices(whole, 0, 1_000_000):
-                found = split_batch(batch.column(0).to_pylist(), known)
-                told = np.asarray([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)[found.text_of]
-                for points, sentence, a, b in _blocks(found):
-                    script = main_script(script_counts(points, sentence, b - a))
-                    group = np.where(script >= 0, told[a:b] * len(NAMES) + script, -1)
-                    used, number = np.unique(group, return_inverse=True)
-                    yield _counted(points, sentence, np.where(group >= 0, number, -1), [(languages[g // len(NAMES)], g % len(NAMES)) for g in used.tolist()])
+            for batch in slices(whole, at, 1_000_000):
+                found = split_batch(batch.column(at).to_pylist(), known)
+                base = found.bounds[found.text_of]
+                places = [_lists(x - base, found.text_of, batch.num_rows, pa.int32()) for x in (found.starts, found.ends)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *places], names=[*batch.schema.names, "starts", "ends"])
+
+    return spread(documents).mapInArrow(run, T.StructType([*documents.schema.fields, *PLACES]))
+
+
+def _restored(texts: list[str | None], starts: pa.ListArray, ends: pa.ListArray) -> Split:
+    """The sentences of ``placed`` texts."""
+    points, bounds = joined(texts)
+    sizes = pc.fill_null(pc.list_value_length(starts), 0).to_numpy(zero_copy_only=False)
+    text_of = np.repeat(np.arange(len(texts)), sizes)
+    base = bounds[text_of]
+    return Split(points, bounds, starts.flatten().to_numpy() + base, ends.flatten().to_numpy() + base, text_of)
 
-    def by_profile(shared, as_counts: bool):
+
+def _splits(documents: DataFrame, learned: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[str | None], Split]]]:
+    """What gives slices of batches of ``documents``, with their texts and sentences: those of ``placed`` texts, else found here."""
+    text, has_places = documents.columns.index("text"), "starts" in documents.columns
+    starts, ends = (documents.columns.index(x) if has_places else -1 for x in ("starts", "ends"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None], Split]]:
+        known = words_known(learned)
+        for whole in batches:
+            for batch in slices(whole, text, 1_000_000):
+                texts = batch.column(text).to_pylist()
+                yield batch, texts, _restored(texts, batch.column(starts), batch.column(ends)) if has_places else split_batch(texts, known)
+
+    return run
+
+
+def _labelled(documents: DataFrame, languages: list[str]) -> DataFrame:
+    return documents.filter(F.col("text").isNotNull() & F.col("lang").isin(languages))
+
+
+def fitted_profiles(documents: DataFrame, languages: list[str], learned: frozenset[str] = frozenset(), rounds: int = 2) -> Profiles:
+    """Profiles without limits, from all rows ``text, lang`` whose label is one of ``languages``, in order. ``documents`` is read once a round."""
+    source = spread(_labelled(documents, languages).select("text", "lang", *(c for c in ("starts", "ends") if c in documents.columns)))
+    splits = _splits(source, learned)
+
+    def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, found in splits(batches):
+            told = np.asarray([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)[found.text_of]
+            for points, sentence, a, b in _blocks(found):
+                script = main_script(script_counts(points, sentence, b - a))
+                yield _counted(points, sentence, np.where(script >= 0, told[a:b] * len(NAMES) + script, -1))
+
+    def by_profile(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, profiles = words_known(learned), shared.value
-            for whole in batches:
-                for batch in slices(whole, 0, 1_000_000):
-                    for points, sentence, a, b in _blocks(split_batch(batch.column(0).to_pylist(), known)):
-                        of = judge(profiles, points, sentence, b - a)
-                        sure = (of.lead >= LEAST_LEAD) & (of.letters >= (FEW_LETTERS if as_counts else UNKNOWN_LETTERS)) & (of.language >= 0)
-                        if as_counts:
-                            yield _counted(points, sentence, np.where(sure, of.language, -1), [(x, int(s)) for x, s in zip(languages, profiles.scripts)])
-                        else:
-                            k = np.flatnonzero(sure)
-                            names = np.asarray(languages, object)[of.language[k]].tolist()
-                            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(of.nearest[k]), pa.array(of.farthest[k])], schema=LEADS)
+            profiles = shared.value
+            for _, _, found in splits(batches):
+                of = _judged(profiles, found)
+                sure = (of.lead >= LEAST_LEAD) & (of.letters >= FEW_LETTERS) & (of.language >= 0)
+                group = np.where(sure, of.language * len(NAMES) + profiles.scripts[of.language], -1)
+                for points, sentence, a, b in _blocks(found):
+                    yield _counted(points, sentence, group[a:b])
 
         return run
 
-    spark = documents.sparkSession
     profiles = _profiles_of(source.mapInArrow(by_label, GRAMS_DDL), languages)
     for _ in range(rounds - 1):
-        shared = spark.sparkContext.broadcast(profiles)
-        profiles = _profiles_of(source.mapInArrow(by_profile(shared, True), GRAMS_DDL), languages)
-    shared = spark.sparkContext.broadcast(profiles)
-    distances_ = source.mapInArrow(by_profile(shared, False), LEADS_DDL)
-    ends = distances_.groupBy("lang").agg(F.percentile_approx("own", 0.999, 1000).alias("own"), F.percentile_approx("other", 0.5, 1000).alias("other")).collect()  # a row per language
-    for lang, own, other in ends:
-        profiles.unknown[languages.index(lang)] = (own + max(own, other)) / 2
+        shared = documents.sparkSession.sparkContext.broadcast(profiles)
+        profiles = _profiles_of(source.mapInArrow(by_profile(shared), GRAMS_DDL), languages)
+    return profiles
+
+
+#: What is kept of each sentence: ``Judged``, and whether it is a heading.
+JUDGED = {"language": pa.int32(), "runner_up": pa.int32(), "nearest": pa.float64(), "farthest": pa.float64(), "lead": pa.float64(), "script": pa.int32(), "letters": pa.int32(), "heading": pa.bool_()}
+_SPARK = {pa.int32(): T.IntegerType(), pa.float64(): T.DoubleType(), pa.bool_(): T.BooleanType()}
+
+
+def judged(documents: DataFrame, profiles: Profiles, learned: frozenset[str] = frozenset(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns ``keep`` of each document, and of its sentences ``starts, ends`` and what ``JUDGED`` names, as lists."""
+    shared = documents.sparkSession.sparkContext.broadcast(profiles)  # some ten thousand numbers
+    source = documents.select(*keep, F.col("text"), *(F.col(c) for c in ("starts", "ends") if c in documents.columns))
+    splits = _splits(source, learned)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts, found in splits(batches):
+            of, base = _judged(shared.value, found), found.bounds[found.text_of]
+            starts, ends = found.starts - base, found.ends - base
+            values = {f.name: getattr(of, f.name) for f in fields(Judged)} | {"heading": headings(texts, found.text_of, starts, ends)}
+            lists = [_lists(x, found.text_of, batch.num_rows, pa.int32()) for x in (starts, ends)]
+            lists += [_lists(values[name], found.text_of, batch.num_rows, kind) for name, kind in JUDGED.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *lists], names=[*keep, "starts", "ends", *JUDGED])
+
+    kept = [source.schema[c] for c in keep]
+    return spread(source).mapInArrow(run, T.StructType([*kept, *PLACES, *(T.StructField(name, T.ArrayType(_SPARK[kind])) for name, kind in JUDGED.items())]))
+
+
+#: One part in so many is the most by which the rank of a limit may be off; the limits are those of a thousandth.
+LIMIT_ACCURACY = 100_000
+
+
+def set_limits(profiles: Profiles, judged_: DataFrame) -> None:
+    """Sets ``unknown`` from the judged sentences of labelled documents."""
+    each = judged_.select(F.explode(F.arrays_zip("language", "nearest", "farthest", "lead", "letters")).alias("s")).select("s.*")
+    sure = each.filter((F.col("language") >= 0) & (F.col("lead") >= LEAST_LEAD) & (F.col("letters") >= UNKNOWN_LETTERS))
+    ends = sure.groupBy("language").agg(F.percentile_approx("nearest", 0.999, LIMIT_ACCURACY), F.percentile_approx("farthest", 0.5, LIMIT_ACCURACY)).collect()  # a row per language
+    for language, own, other in ends:
+        profiles.unknown[language] = (own + max(own, other)) / 2
+
+
+def fit(documents: DataFrame, languages: list[str], learned: frozenset[str] = frozenset(), rounds: int = 2) -> Profiles:
+    """Profiles of the languages from rows ``text, lang``, whose labels may be wrong; languages without a text keep an empty profile.
+
+    All rows count. ``documents`` is read once a round, and once for the limits.
+    """
+    languages = sorted(languages)
+    profiles = fitted_profiles(documents, languages, learned, rounds)
+    set_limits(profiles, judged(_labelled(documents, languages), profiles, learned))
     return profiles
 
 
 def labelled_sample(documents: DataFrame, languages: list[str], sample: int = SAMPLE, most: int = SAMPLE_CHARS) -> DataFrame:
-    """``text, lang`` of a bounded sample: about ``sample`` documents of each label, chosen by a hash of id and text.
+    """``text, lang`` of a bounded sample, for trials; no query uses it: about ``sample`` documents of each label, chosen by a hash of id and text.
 
     The table is written, of at most about ``sample * most`` characters a language, so that each round of the fit reads just that.
     """
@@ -414,10 +510,14 @@ def labelled_sample(documents: DataFrame, languages: list[str], sample: int = SA
     return spread(written(chosen.repartition(cores(spark)), "labelled-sample"), "text")
 
 
+def known_languages(lang_labels: DataFrame) -> list[str]:
+    """The languages of ``lang_labels`` (a fixed table), in order."""
+    return sorted(r[0] for r in lang_labels.filter("lang is not null").select("lang").distinct().collect())
+
+
 def fitted(documents: DataFrame, lang_labels: DataFrame, learned: frozenset[str] = frozenset()) -> Profiles:
-    """Profiles of all languages of ``lang_labels`` (a fixed table), from the labelled documents."""
-    languages = sorted(r[0] for r in lang_labels.filter("lang is not null").select("lang").distinct().collect())
-    return fit(labelled_sample(documents, languages), languages, learned)
+    """Profiles of all languages of ``lang_labels``, from all labelled documents."""
+    return fit(documents, known_languages(lang_labels), learned)
 
 
 #: Longest heading in characters and in words.
@@ -455,27 +555,30 @@ def settle(language: np.ndarray, runner_up: np.ndarray, sure: np.ndarray, few: n
     return out
 
 
+def settled_languages(profiles: Profiles, text_of: np.ndarray, texts: int, of: Judged, heading: np.ndarray):
+    """(language, lead, counted) of judged sentences; see ``sentence_languages``."""
+    counted = ~heading
+    alone = np.bincount(text_of, weights=counted & (of.language >= 0), minlength=texts) == 0
+    counted |= alone[text_of]
+    few = of.letters < FEW_LETTERS
+    unknown = profiles.unknown[np.maximum(of.language, 0)] if len(profiles.unknown) else np.inf
+    far = (of.letters >= UNKNOWN_LETTERS) & (of.language >= 0) & (of.nearest > unknown)
+    sure = counted & ~few & (of.lead >= LEAST_LEAD) & ~far
+    language = settle(of.language, of.runner_up, sure | far, few, of.script, text_of)
+    return np.where(far, len(profiles.languages), language), np.where(far, 0.0, of.lead), counted
+
+
 def sentence_languages(profiles: Profiles, texts: list[str], known: Words | None = None):
     """(text, start, end, language, lead, letters, counted) of every sentence.
 
     Language len(profiles.languages) is none of the known ones. Not counted: headings beside real sentences.
     """
     found = split_batch(texts, known)
-    n = len(found.starts)
     base = found.bounds[found.text_of]
     starts, ends, text_of = found.starts - base, found.ends - base, found.text_of
-    if not n:
-        return text_of, starts, ends, np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, bool)
-    parts = [judge(profiles, points, sentence, b - a) for points, sentence, a, b in _blocks(found)]
-    of = Judged(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Judged)))
-    counted = ~headings(texts, text_of, starts, ends)
-    alone = np.bincount(text_of, weights=counted & (of.language >= 0), minlength=len(texts)) == 0
-    counted |= alone[text_of]
-    few = of.letters < FEW_LETTERS
-    far = (of.letters >= UNKNOWN_LETTERS) & (of.language >= 0) & (of.nearest > profiles.unknown[np.maximum(of.language, 0)])
-    sure = counted & ~few & (of.lead >= LEAST_LEAD) & ~far
-    language = settle(of.language, of.runner_up, sure | far, few, of.script, text_of)
-    return text_of, starts, ends, np.where(far, len(profiles.languages), language), np.where(far, 0.0, of.lead), of.letters, counted
+    of = _judged(profiles, found)
+    language, lead, counted = settled_languages(profiles, text_of, len(texts), of, headings(texts, text_of, starts, ends))
+    return text_of, starts, ends, language, lead, of.letters, counted
 
 
 SEGMENTS = pa.schema(
@@ -484,8 +587,9 @@ SEGMENTS = pa.schema(
 SEGMENTS_DDL = "doc_id bigint, segment int, lang string, confidence double, start_char bigint, end_char bigint, sentences int"
 
 
-def _segments_of(profiles: Profiles, ids: pa.Array, texts: list[str | None], known: Words | None) -> pa.RecordBatch:
-    text_of, starts, ends, language, lead, letters, counted = sentence_languages(profiles, [t or "" for t in texts], known)
+def _segments_of(profiles: Profiles, ids: pa.Array, text_of: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: Judged, heading: np.ndarray) -> pa.RecordBatch:
+    language, lead, counted = settled_languages(profiles, text_of, len(ids), of, heading)
+    letters = of.letters
     keep = np.flatnonzero((language >= 0) & counted)
     text_of, starts, ends, language, lead, letters = (x[keep] for x in (text_of, starts, ends, language, lead, letters))
     if not len(keep):
@@ -504,37 +608,55 @@ def _segments_of(profiles: Profiles, ids: pa.Array, texts: list[str | None], kno
             pa.array(number.astype(np.int32)),
             pa.array(names[language[edge]].tolist(), pa.string()),
             pa.array(confidence),
-            pa.array(starts[edge]),
-            pa.array(ends[last]),
+            pa.array(starts[edge].astype(np.int64)),
+            pa.array(ends[last].astype(np.int64)),
             pa.array((last - edge + 1).astype(np.int32)),
         ],
         schema=SEGMENTS,
     )
 
 
+def settled(judged_: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The segments of ``judged`` documents; see ``segments``."""
+    shared = judged_.sparkSession.sparkContext.broadcast(profiles)
+    source = judged_.select("doc_id", *keep, "starts", "ends", *JUDGED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.columns[1 + len(keep) :]
+            text_of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+            starts, ends, *values, heading = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            found = _segments_of(shared.value, pa.array(np.arange(batch.num_rows)), text_of, starts, ends, Judged(*values), heading)
+            row = found.column(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *found.columns[1:], *(batch.column(1 + k).take(row) for k in range(len(keep)))], names=[*SEGMENTS.names, *keep])
+
+    types = dict(judged_.dtypes)
+    return source.mapInArrow(run, ", ".join([SEGMENTS_DDL, *(f"`{c}` {types[c]}" for c in keep)]))
+
+
 def segments(documents: DataFrame, profiles: Profiles, learned: frozenset[str] = frozenset(), keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, segment, lang, confidence, start_char, end_char, sentences`` of ``doc_id, text``, and the columns ``keep``.
 
     Confidence is the lead of the nearest language over the next one, from 0 to 1, mean over the letters; 0 for ``und``.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(profiles)  # some ten thousand numbers
+    source = documents.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return settled(judged(source, profiles, learned, ("doc_id", *keep)), profiles, keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words_known(learned)
-        for whole in batches:
-            for batch in slices(whole, 1, 1_000_000):
-                number = pa.array(np.arange(batch.num_rows))
-                found = _segments_of(shared.value, number, batch.column(1).to_pylist(), known)
-                row = found.column(0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), *found.columns[1:], *(batch.column(2 + k).take(row) for k in range(len(keep)))],
-                    names=[*SEGMENTS.names, *keep],
-                )
-
-    types = dict(documents.dtypes)
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
-    return spread(source, "doc_id").mapInArrow(run, ", ".join([SEGMENTS_DDL, *(f"`{c}` {types[c]}" for c in keep)]))
+
+def fitted_segments(documents: DataFrame, lang_labels: DataFrame, learned: frozenset[str] = frozenset(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``segments`` by the profiles that ``fitted`` gives for the same documents.
+
+    Documents are split once, and judged once by the last profiles, for the limits and for the segments:
+    two tables hold what was found, of which the one with the texts is deleted here.
+    """
+    languages = known_languages(lang_labels)
+    kept = tuple(dict.fromkeys(("doc_id", "lang", *keep)))
+    texts = written(placed(documents.withColumn("doc_id", F.col("doc_id").cast("bigint")).select(*kept, "text"), learned), "sentences")
+    profiles = fitted_profiles(texts, languages)
+    found = written(judged(texts, profiles, keep=kept), "judged")
+    discard(texts)
+    set_limits(profiles, found.filter(F.col("lang").isin(languages)))
+    return settled(found, profiles, keep)
 
 
 def main_languages(segments_: DataFrame) -> DataFrame:

@@ -512,12 +512,16 @@ class Split:
     text_of: np.ndarray
 
 
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts with blank lines between, and where each text begins."""
+    texts = [t or "" for t in texts]
+    points = np.frombuffer("\n\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.cumsum([0, *(len(t) + 2 for t in texts)], dtype=np.int64)[:-1]
+
+
 def split_batch(texts: list[str | None], known: Words | None = None) -> Split:
     """Sentences of all texts, at places in ``points``."""
-    texts = [t or "" for t in texts]
-    joined = "\n\n".join([*texts, ""])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    bounds = np.cumsum([0, *(len(t) + 2 for t in texts)], dtype=np.int64)[:-1]
+    points, bounds = joined(texts)
     none = np.empty(0, np.int64)
     if not len(points):
         return Split(points, bounds, none, none, none)

@@ -196,6 +196,22 @@ def test_labelled_sample(spark):
     assert rows(spark, none, [ENGLISH[0]]) == []
 
 
+def test_profiles_are_fitted_on_all_labelled_documents(spark):
+    """Words of one document among 2,000, and a language whose one document has more than 20,000 characters."""
+    german = " ".join(GERMAN) + " "
+    texts = [" ".join(ENGLISH)] * 2000 + [german * (25_000 // len(german))]
+    texts[1234] += " The wqwqwq" + " wqwqwq" * 20_000 + " were there."
+    df = spark.createDataFrame([(i, t, "en" if i < 2000 else "de") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([("eng", "en"), ("deu", "de")], "label string, lang string")
+    both = L.fitted(df, labels)
+    assert both.languages == ["de", "en"] and (both.scripts >= 0).all()
+    gram = np.uint64(ord("w") << 2 * L.BITS | ord("q") << L.BITS | ord("w"))
+    at = np.flatnonzero(both.keys == gram)
+    assert len(at) == 1 and both.ranks[1, at[0]] < 20
+    fitted = L.fitted_segments(df, labels)
+    assert sorted(fitted.collect()) == sorted(L.segments(df, both).collect())
+
+
 def test_text_in_none_of_the_languages(spark, profiles):
     polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."
     got = rows(spark, profiles, [polish, ENGLISH[0] + " " + polish, "שלום לכל האנשים"])
