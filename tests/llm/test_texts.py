@@ -212,6 +212,29 @@ def test_profiles_are_fitted_on_all_labelled_documents(spark):
     assert sorted(fitted.collect()) == sorted(L.segments(df, both).collect())
 
 
+def test_limits_keep_to_a_thousandth(spark):
+    profiles = L.Profiles(["en"], np.zeros(1, int), np.empty(0, np.uint64), np.empty((1, 0), np.int16), np.full(1, np.inf))
+    of = {"language": "0", "nearest": "sqrt(id / 400000)", "farthest": "0.1D", "lead": "1.0D", "letters": "99"}
+    L.set_limits(profiles, spark.range(0, 400_000, 1, 8).selectExpr(*(f"array({x}) AS {name}" for name, x in of.items())))
+    assert profiles.unknown[0] == pytest.approx(0.999**0.5, abs=2e-5)
+
+
+def test_distances_equal_those_of_single_sentences(profiles):
+    texts = [ENGLISH[0], GREEK[0], GERMAN[1] + " łąż", "a", "Ω ω", ENGLISH[2] + ENGLISH[2], "12", "שלום"]
+    rank_of = [{g: int(r) for g, r in zip(profiles.keys.tolist(), row)} for row in profiles.ranks]
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    sentence = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(points)].astype(np.int32)
+    script = L.main_script(L.script_counts(points, sentence, len(texts)))
+    got = L.distances(profiles, points, sentence, script)
+    for k in range(len(texts)):
+        grams, n = np.unique(L._grams(points[sentence == k], np.zeros((sentence == k).sum(), np.int32)), return_counts=True)
+        rank = [int(min((n > x).sum() + ((n == x).sum() - 1) / 2, L.PROFILE - 1)) for x in n]
+        for lang, ranks in enumerate(rank_of):
+            fits = len(grams) and script[k] == profiles.scripts[lang]
+            away = [abs(ranks[g] - r) if g in ranks else L.PROFILE for g, r in zip(grams.tolist(), rank)]
+            assert got[k, lang] == (sum(away) / len(grams) if fits else np.inf)
+
+
 def test_text_in_none_of_the_languages(spark, profiles):
     polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."
     got = rows(spark, profiles, [polish, ENGLISH[0] + " " + polish, "שלום לכל האנשים"])
