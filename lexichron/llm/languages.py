@@ -12,7 +12,9 @@ labelled documents; the n-grams are counted in the executors, and only the
 profiles come to the driver.  Labels may be wrong, so the fit is done twice: the
 second time each sentence of a labelled document counts for the language that the
 first profiles give it.  A language is compared only with sentences in its script,
-which is the one that most letters under its label are in.
+which is the one that most documents under its label are in: by letters, a few long
+documents with a wrong label would outweigh all others, and a Han character only
+counts as much as a Latin letter.
 
 A sentence farther from its nearest language than ``unknown`` has language
 ``und``: that limit lies half-way between the distance that all but a thousandth
@@ -364,15 +366,23 @@ def _counted(found: Split, group_of: Callable[[np.ndarray, np.ndarray, int, int]
     return pa.RecordBatch.from_arrays([pa.array((of // len(NAMES)).astype(np.int32)), pa.array((of % len(NAMES)).astype(np.int32)), pa.array(gram), pa.array(n)], schema=GRAMS)
 
 
+#: Instead of an n-gram: a document in this script.
+VOTE = -1
+
+
 def _profiles_of(counted: DataFrame, languages: list[str]) -> Profiles:
-    """The most frequent n-grams of each language in the script of most of its letters; at most PROFILE rows a language are collected."""
+    """The most frequent n-grams of each language in the script of most of its documents; at most PROFILE rows a language are collected.
+
+    Where no documents are counted, the n-grams of a language are in one script.
+    """
     summed = written(counted.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n")), "n-grams")
-    totals = summed.groupBy("lang", "script").agg(F.sum("n").alias("n")).collect()  # at most languages x scripts
+    totals = summed.groupBy("lang", "script").agg(F.sum(F.when(F.col("gram") == VOTE, F.col("n")).otherwise(0)).alias("n")).collect()  # at most languages x scripts
     main = {lang: -script for _, script, lang in sorted((n, -script, lang) for lang, script, n in totals)}
     scripts = np.full(len(languages), -1)
     rows = []
     if main:
-        of_main = summed.filter(F.create_map(*[F.lit(x) for pair in sorted(main.items()) for x in pair])[F.col("lang")] == F.col("script"))
+        is_main = F.create_map(*[F.lit(x) for pair in sorted(main.items()) for x in pair])[F.col("lang")] == F.col("script")
+        of_main = summed.filter(is_main & (F.col("gram") != VOTE))
         # no task sorts all n-grams of a language: those of a part come first, then the first of all parts
         in_part = W.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).orderBy(F.desc("n"), "gram")
         first = of_main.withColumn("rank", F.row_number().over(in_part)).filter(F.col("rank") <= PROFILE)
@@ -447,13 +457,19 @@ def fitted_profiles(documents: DataFrame, languages: list[str], learned: frozens
 
     def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, found in splits(batches):
-            told = np.asarray([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)[found.text_of]
+            label = np.asarray([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            letters = np.zeros((len(label), len(NAMES)), np.int64)
 
-            def group(points: np.ndarray, sentence: np.ndarray, a: int, b: int, told=told) -> np.ndarray:
-                script = main_script(script_counts(points, sentence, b - a))
-                return np.where(script >= 0, told[a:b] * len(NAMES) + script, -1)
+            def group(points: np.ndarray, sentence: np.ndarray, a: int, b: int, found=found, label=label, letters=letters) -> np.ndarray:
+                counts = script_counts(points, sentence, b - a)
+                np.add.at(letters, found.text_of[a:b], counts)
+                script = main_script(counts)
+                return np.where(script >= 0, label[found.text_of[a:b]] * len(NAMES) + script, -1)
 
             yield _counted(found, group)
+            script = main_script(letters)
+            of, n = np.unique((label * len(NAMES) + script)[script >= 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((of // len(NAMES)).astype(np.int32)), pa.array((of % len(NAMES)).astype(np.int32)), pa.array(np.full(len(of), VOTE)), pa.array(n)], schema=GRAMS)
 
     def by_profile(shared):
         def sure_groups(of: Judged) -> np.ndarray:

@@ -212,6 +212,14 @@ def test_profiles_are_fitted_on_all_labelled_documents(spark):
     assert sorted(fitted.collect()) == sorted(L.segments(df, both).collect())
 
 
+def test_long_documents_with_a_wrong_label_do_not_tell_the_script(spark):
+    chinese = "那封信到了城里，人们都很高兴。谁知道老抄写员写了什么？"
+    texts = [" ".join(ENGLISH)] * 9 + [chinese] * 9 + [" ".join(ENGLISH * 20)] * 2
+    fitted = L.fit(spark.createDataFrame(list(zip(texts, ["en"] * 9 + ["zh"] * 11)), "text string, lang string"), ["en", "zh"])
+    assert [L.NAMES[k] for k in fitted.scripts] == ["latin", "han"]
+    assert [(d, lang) for d, _, lang, *_ in rows(spark, fitted, [ENGLISH[0], chinese])] == [(0, "en"), (1, "zh")]
+
+
 def test_limits_keep_to_a_thousandth(spark):
     profiles = L.Profiles(["en"], np.zeros(1, int), np.empty(0, np.uint64), np.empty((1, 0), np.int16), np.full(1, np.inf))
     of = {"language": "0", "nearest": "sqrt(id / 400000)", "farthest": "0.1D", "lead": "1.0D", "letters": "99"}
