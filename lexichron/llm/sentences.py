@@ -111,8 +111,8 @@ _BEYOND = 0xFFFF
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class, and lower-case form, of each character of the basic plane."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, and lower-case form, of each character of the basic plane, and whether it is a numeral in lower case."""
     classes, lower = np.zeros(0x10000, np.uint8), np.arange(0x10000, dtype=np.uint32)
     of_kind = {"Lu": UPPER_C, "Lt": UPPER_C, "Ll": LOWER_C, "Nd": DIGIT_C, "Cf": IGNORED_C}
     for i in range(0x10000):
@@ -133,7 +133,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     for characters, value in (("!?؟‼⁇⁈⁉\u037e", MARK_C), ("。।॥۔。", STOP_C), ("！？", CJK_MARK_C), ("¿¡", INVERTED_C), (".", POINT_C), ("…", DOTS_C), (paired, PAIR_C)):
         for c in characters:
             classes[ord(c)] = value
-    return classes, lower
+    numerals = np.zeros(0x10000, bool)
+    numerals[[ord(c) for c in "ivxlcdm"]] = True
+    return classes, lower, numerals
 
 
 _POWERS = np.cumprod(np.full(WORD, 0x9E3779B97F4A7C15, np.uint64))
@@ -193,7 +195,7 @@ def _points_after(points, classes, begin, end, lower_case, known: Words) -> np.n
     has_upper, has_lower = is_upper.any(axis=1), is_lower.any(axis=1)
     low = _tables()[1][np.minimum(points[at], _BEYOND)]
     keys = np.where(short, (np.where(inside, low, 0).astype(np.uint64) * _POWERS).sum(axis=1, dtype=np.uint64), 0)
-    numeral = short & (np.isin(low, [ord(c) for c in "ivxlcdm"]) | ~inside).all(axis=1) & ((has_upper & ~has_lower) != lower_case)
+    numeral = short & (_tables()[2].take(low) | ~inside).all(axis=1) & ((has_upper & ~has_lower) != lower_case)
     chapter = (first == UPPER_C) & (letters <= 4)
     rule = np.where(letters < 3, np.where(has_lower & ~has_upper, NO_DIGIT, NOTHING), np.where(has_upper & ~has_lower, NO_CAPITAL, ANY))
     out = (_PLAIN + 4 * rule + 2 * chapter + numeral).astype(np.uint8)
@@ -232,15 +234,15 @@ def _pair(symbols: np.ndarray, marks: np.ndarray, characters: list[str], paragra
 def lex(points: np.ndarray, bounds: np.ndarray, known: Words) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of texts set one after another with blank lines between, and where each begins. ``bounds``: where texts begin."""
     n = len(points)
-    classes = _tables()[0][np.minimum(points, _BEYOND)]
-    beyond = np.flatnonzero(points > _BEYOND)
+    classes = _tables()[0].take(points, mode="clip")
+    beyond = np.flatnonzero(points > _BEYOND) if points.max(initial=0) > _BEYOND else ()
     if len(beyond):
         classes[beyond] = [CJK_C if 0x20000 <= p < 0x32000 else CASELESS_C if chr(p).isalpha() else OTHER_C for p in points[beyond].tolist()]
     questions = np.flatnonzero(points == 0x3B)
     if len(questions):  # in Greek, a semicolon asks
         before = points[np.maximum(questions - 1, 0)]
         classes[questions[((before >= 0x370) & (before < 0x400)) | ((before >= 0x1F00) & (before < 0x2000))]] = MARK_C
-    group = _GROUP[classes]
+    group = _GROUP.take(classes)
     ignored = np.flatnonzero(classes == IGNORED_C)
     if len(ignored):  # a mark on a letter goes with it
         breaks = np.flatnonzero(np.diff(ignored, prepend=-2) != 1)
@@ -250,7 +252,7 @@ def lex(points: np.ndarray, bounds: np.ndarray, known: Words) -> tuple[np.ndarra
     start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (group[1:] == ALONE)])
     end = np.r_[start[1:], n]
     of_group, of_class = group[start], classes[start]
-    symbols = _SYMBOL_OF[of_class]
+    symbols = _SYMBOL_OF.take(of_class)
     breaks = np.flatnonzero((points == 10) | (points == 0x2029))
     lines = np.bincount(np.searchsorted(start, breaks, side="right") - 1, weights=1 + (points[breaks] == 0x2029), minlength=len(start))
     symbols[lines == 1] = LINE
@@ -443,9 +445,8 @@ def _compose_by_scan(functions: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 def _chunk_functions(flat: np.ndarray, n_states: int, padded: np.ndarray, at: np.ndarray, chunk: int) -> np.ndarray:
     """For each chunk the state it leads to from each state. Once states have met, only the distinct ones run on."""
-    through = np.tile(np.arange(n_states, dtype=np.intp), (len(at), 1))
-    running, narrow = through, None
-    for k in range(chunk):
+    running, narrow = (flat.reshape(n_states, SYMBOLS).T >> 1).astype(np.intp)[padded[at]], None
+    for k in range(1, chunk):
         running = (flat[running * SYMBOLS + padded[at + k][:, None]] >> 1).astype(np.intp)
         if k in (1, 3, 7, 15, 31, 63):
             ordered = np.sort(running, axis=1)
@@ -556,7 +557,7 @@ def learned_abbreviations(documents: DataFrame) -> frozenset[str]:
     follows its point, then each word.  Only the abbreviations come back.
     """
     few, most = LEARN_LETTERS
-    found = F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}\p{{M}}.])\p{{L}}{{{few},{most}}}(?![\p{{L}}\p{{N}}\p{{M}}])(?:\.(?= ?[\p{{L}}\p{{N}}])(?: ?[\p{{L}}\p{{N}}])?)?"), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(rf"(?<!\p{{L}})(?<![\p{{N}}\p{{M}}.])\p{{L}}{{{few},{most}}}+(?!\p{{L}})(?![\p{{N}}\p{{M}}])(?:\.(?= ?[\p{{L}}\p{{N}}])(?: ?[\p{{L}}\p{{N}}])?)?"), F.lit(0))
     spelled = documents.filter(F.col("text").isNotNull()).select(F.explode(found).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
     word, dotted = F.lower(F.split_part("m", F.lit("."), F.lit(1))), F.col("m").contains(".")
     onward = dotted & F.col("m").rlike(r"[\p{Ll}\p{N}]$")

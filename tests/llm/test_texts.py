@@ -1,6 +1,7 @@
 """Sentences and languages on stated texts."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -255,3 +256,50 @@ def test_more_sentences_than_a_key_holds(profiles, monkeypatch):
     monkeypatch.setattr(L, "MOST_SENTENCES", 7)
     for a, b in zip(whole, L.sentence_languages(profiles, [text, text])):
         assert np.array_equal(a, b)
+
+
+def test_long_words_count_alike_wherever_they_stand():
+    text = "Странствующий монах. Странствующий монах."
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    counts = L.script_counts(points, np.repeat(np.arange(2), [21, 20]).astype(np.int32), 2)
+    assert counts[:, L.NAMES.index("cyrillic")].tolist() == [L.WORD_LETTERS + 5] * 2
+
+
+@pytest.mark.parametrize(("name", "value"), [("NUMBERED", 0), ("NUMBERED", 20), ("NUMBERED_AT_ONCE", 2), ("NUMBERED_CHARS", 50), ("CHARS_AT_ONCE", 100)])
+def test_numbered_letters_give_the_same(profiles, monkeypatch, name, value):
+    """All ways through judgement and counts: letters with and without numbers, in one block and in several."""
+    texts = [None, " ".join(ENGLISH + GREEK), "\n\n".join(GERMAN) + " łąż 中国\U00020000。", "", "12 שלום", ENGLISH[2] + "ไทย " + GREEK[0] + ENGLISH[1] * 30]
+
+    def run():
+        found = S.split_batch(texts)
+        batch = L._batch(found, L._scripts(found))
+        of = L._judged(profiles, batch)
+        assert (of.language >= 0).sum() > 5
+        counted = L._counted(batch, np.where(of.language >= 0, of.language * len(L.NAMES) + of.script, -1))
+        sums = Counter()
+        for *key, n in zip(*counted.to_pydict().values()):
+            sums[tuple(key)] += n
+        return [getattr(of, f.name).tolist() for f in L.fields(L.Judged)], sums
+
+    whole = run()
+    monkeypatch.setattr(L, name, value)
+    assert run() == whole
+
+
+def test_second_round_counts_sentences_for_the_language_they_are_in(spark):
+    texts = [" ".join(ENGLISH)] * 9 + [" ".join(GERMAN)] * 9 + [" ".join(ENGLISH + GERMAN[:1] + GREEK) + " No."] * 2 + [GREEK[0], "12", None]
+    df = spark.createDataFrame(list(zip(texts, ["en"] * 9 + ["de"] * 11 + ["el", "fr", "fr"])), "text string, lang string")
+    first, second = (L.fitted_profiles(df, ["de", "el", "en", "fr"], rounds=k) for k in (1, 2))
+    found = S.split_batch(texts)
+    batch = L._batch(found, L._scripts(found))
+    of = L._judged(first, batch)
+    sure = (of.lead >= L.LEAST_LEAD) & (of.letters >= L.FEW_LETTERS) & (of.language >= 0)
+    for lang in range(4):
+        members = np.flatnonzero(sure & (of.language == lang))
+        grams = [L._grams(found.points[found.starts[k] : found.ends[k]], np.zeros(found.ends[k] - found.starts[k], np.int32)) for k in members]
+        gram, n = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_counts=True)
+        expected = gram[np.lexsort((gram, -n))][: L.PROFILE]
+        held = np.flatnonzero(second.ranks[lang] < L.PROFILE)
+        assert np.array_equal(second.keys[held[np.argsort(second.ranks[lang, held])]], expected)
+        assert (second.scripts[lang] >= 0) == (len(members) > 0)
+    assert (first.ranks != second.ranks).any() if first.ranks.shape == second.ranks.shape else True
