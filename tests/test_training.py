@@ -1,6 +1,9 @@
 """Word vectors of each period, over lines with their repetitions."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -44,3 +47,28 @@ def test_cbow_finds_words_of_like_contexts():
     like = lambda a, b: float(unit[words.index(a)] @ unit[words.index(b)])
     assert like("cat", "dog") > like("cat", "queen") and like("rules", "governs") > like("rules", "drinks")
     assert np.array_equal(found, vectors.cbow(lines, size=16, epochs=40, exponent=0.75)[1])
+
+
+SPEED = """
+import time
+import numpy as np
+from lexichron.operators import vectors
+rng = np.random.default_rng(1)
+lines = [[f"w{k}" for k in line] for line in (rng.zipf(1.3, (4000, 10)) % 2000)]
+rows = rng.random((1280, 100)).astype(np.float32)
+places = np.sort(rng.zipf(1.3, 1280) % 2000)
+begins = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+began = time.process_time()
+for _ in range(400):
+    np.add.reduceat(rows, begins, axis=0)
+unit, began = time.process_time() - began, time.process_time()
+vectors.cbow(lines, epochs=2)
+print((time.process_time() - began) / unit)
+"""
+
+
+def test_training_speed():
+    # Against sums of rows one by one on the same machine: 1.3 to 1.6 times their time; 4.4 to 4.7 when the steps of a batch were added up so.
+    env = os.environ | {"OMP_NUM_THREADS": "1", "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    said = [float(subprocess.run([sys.executable, "-c", SPEED], env=env, capture_output=True, text=True, check=True).stdout) for _ in range(3)]
+    assert min(said) < 3
