@@ -49,6 +49,31 @@ def test_cbow_finds_words_of_like_contexts():
     assert np.array_equal(found, vectors.cbow(lines, size=16, epochs=40, exponent=0.75)[1])
 
 
+def test_large_groups_are_trained_whole(spark):
+    # Sixty words of five lines each: a draw of lines would miss some of them or some of their repetitions.
+    lines = spark.createDataFrame([("a", f"w{k} x y", 5) for k in range(60)] + [("b", "x y", 9)], "period string, line string, w bigint")
+    rows = vectors.train_per(lines, "period", most_lines=50, size=8, epochs=2).collect()
+    assert {(r.period, r.word, len(r.vec)) for r in rows} == {("a", w, 8) for w in ["x", "y", *[f"w{k}" for k in range(60)]]} | {("b", "x", 8), ("b", "y", 8)}
+    again = vectors.train_per(lines.repartition(3), "period", most_lines=50, size=8, epochs=2).collect()
+    assert {(r.period, r.word): r.vec for r in rows} == {(r.period, r.word): r.vec for r in again}
+
+
+def test_shards_find_words_of_like_contexts(spark):
+    rng = random.Random(4)
+    lines = [f"{rng.choice(['cat', 'dog'])} {rng.choice(['eats', 'drinks'])} {rng.choice(['milk', 'meat'])}" for _ in range(400)]
+    lines += [f"{rng.choice(['king', 'queen'])} {rng.choice(['rules', 'governs'])} {rng.choice(['land', 'sea'])}" for _ in range(400)]
+    each = spark.createDataFrame([("a", x, 10) for x in lines], "period string, line string, w bigint")
+    found = vectors.train_per(each, "period", most_lines=4000, size=16, epochs=8, exponent=0.75)
+    near = {r.query: r.word for r in vectors.neighbours(found.filter("word in ('cat', 'rules')").select("word"), found.select("word", "vec"), 1).collect()}
+    assert near == {"cat": "dog", "rules": "governs"}
+
+
+def test_repetitions_are_trained_on():
+    # Of the lines 0 1, 2 and -1 0 3, three, one and two times there, two have words to learn from.
+    held = vectors._Lines(np.array([0, 1, 2, -1, 0, 3]), np.array([2, 1, 3]), np.array([3, 1, 2]))
+    assert (held.tokens.tolist(), held.each.tolist(), held.positions) == ([0, 1, 0, 3], [0, 0, 0, 1, 1], 10)
+
+
 SPEED = """
 import time
 import numpy as np
