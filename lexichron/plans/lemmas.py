@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexichron.functions import text as T
 from lexichron.operators import bags as B
 from lexichron.operators import lemmas as L
-from lexichron.operators import vocabulary
+from lexichron.operators import trigrams, vocabulary
 from lexichron.plans.common import BAG, bag, documents
 from lexichron.plans.ngrams import LEAST, STOPS
 from lexichron.plans.texts import _steps
@@ -36,16 +36,7 @@ def _dictionary(s, d):
 
 def _trigram_bow(s, d):
     """``doc_id, bow, w``: the cleaned trigrams of each document as bags of words of two or more, each with its count."""
-    words = documents(s, d).filter("text is not null").select("doc_id", T.words("text").alias("words"))
-    trigrams = words.select("doc_id", F.explode(T.ngrams(F.col("words"), 3)).alias("ngram")).groupBy("doc_id", "ngram").agg(F.count("*").alias("n"))
-    cleaned = B.remapped(trigrams, T.clean_ngram_string("ngram"), by=["doc_id"])
-    tokens = cleaned.select("doc_id", "ngram", "n", F.explode(F.split("ngram", " ")).alias("token"))
-    counted = tokens.groupBy("doc_id", "ngram", "n", "token").agg(F.count("*").alias("c"))
-    known = vocabulary.dictionary(counted.groupBy("doc_id", "token").agg(F.sum(F.col("n") * F.col("c")).alias("n")), LEAST)
-    pairs = counted.join(known.select("token", "token_id"), "token")
-    bows = pairs.groupBy("doc_id", "ngram", "n").agg(F.array_sort(F.collect_list(F.struct("token_id", "c"))).alias("bow"))
-    text = F.concat_ws(" ", F.transform("bow", lambda x: F.concat_ws(":", x["token_id"], x["c"])))
-    return bows.filter(F.size("bow") > 1).groupBy("doc_id", text.alias("bow")).agg(F.sum("n").alias("w"))
+    return trigrams.bows(documents(s, d), LEAST)
 
 
 QUERIES = {

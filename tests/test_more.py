@@ -1,5 +1,6 @@
 """Sinks and loaders, samples, small things about frames, lemmas, and pruned plans."""
 
+import random
 import io
 import pickle
 from collections import Counter
@@ -182,3 +183,18 @@ def test_map_keeps_neighbours_together(spark):
     assert all((w < 100) == (o < 100) for w, o in nearest.items())
     with pytest.raises(ValueError, match="choose words"):
         vectors.mapped(df, most=3)
+
+
+def test_trigram_bows_within_documents(spark):
+    # Odd cases against the same steps by shuffles: digits, pairs, replacements of two words, separators, repeated and null ids.
+    from lexichron.operators import trigrams
+
+    rng = random.Random(7)
+    pool = "New Testament Nt ot Rom 12 w12 124w 1 2x Christian Jewish jewish christian Paul s Old York a b law law grace\x1cof x　y σΣ ١٢ st Saint Denis".split(" ")
+    rows = [(k % 37 if k % 11 else None, " ".join(rng.choice(pool) for _ in range(k % 23))) for k in range(120)] + [(900, None), (901, " two  words "), (902, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.bow): r.w for r in trigrams.bows(docs, 5).collect()}
+    assert found == {(r.doc_id, r.bow): r.w for r in trigrams.bows(docs, 5, most_tokens=0).collect()}
+    assert any(k is None for k, _ in found) and len(found) == trigrams.bows(docs, 5).count() > 100
+    plan = trigrams.bows(docs.filter("doc_id >= 0").dropDuplicates(["doc_id"]).localCheckpoint(), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # no trigram is shuffled
